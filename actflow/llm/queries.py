@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, toxicity, warc, weak_rules
+from . import decontaminate, near_dup, packing, quality, toxicity, warc, weak_rules
 from .common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), warc.new_archive_path(spark))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -40,4 +44,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_on(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_quality_rules, op5_decontamination, op6_packing, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_near_duplicates, op4_quality_rules, op5_decontamination, op6_packing, op9_quality)}

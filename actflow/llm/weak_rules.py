@@ -82,9 +82,9 @@ def default_rules() -> dict[str, Column]:
     return {
         "symbols": vote(10 * c("n_symbols") > c("n_words"), 50 * c("n_symbols") <= c("n_words")),
         "capitals": vote(10 * c("n_upper") > 4 * c("n_letters"), 10 * c("n_upper") <= 2 * c("n_letters")),
-        "letters": vote(10 * c("n_letters") < 7 * c("word_chars"), 10 * c("n_letters") >= 9 * c("word_chars")),
-        "repeats": vote(4 * c("n_repeat_words") > c("n_words"), 10 * c("n_repeat_words") <= c("n_words")),
-        "lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0),
+        "letters": vote(2 * c("n_letters") < c("word_chars"), 10 * c("n_letters") >= 9 * c("word_chars")),
+        "repeats": vote(3 * c("n_repeat_words") > c("n_words"), 10 * c("n_repeat_words") <= c("n_words")),
+        "lines": vote(10 * c("n_dup_lines") > 6 * c("n_lines"), c("n_dup_lines") == 0),
         "word_size": vote((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words")), c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
     }
 
@@ -106,17 +106,25 @@ def posterior(votes: Column, state: Column, n_rules: int) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def em(patterns: Column, n_rules: int, rounds: int, first_prior: float = 0.7, first_rate: float = 0.8, strength: float = 5.0) -> Column:
-    """Expectation-maximisation over counted vote patterns (array of votes, n): prior, sound, poor."""
+def em(patterns: Column, n_rules: int, rounds: int, prior: float = 0.8, sound: float = 0.998, poor: float = 0.4, sound_strength: float = 20.0, poor_strength: float = 0.1) -> Column:
+    """Expectation-maximisation over counted vote patterns (array of votes, n): prior, sound, poor.
+
+    Rules look for different defects, so on poor documents most of them are silent, and their votes alone
+    don't tell which of two classes is the poor one. Prior beliefs settle it: a rule seldom votes "poor" on
+    a sound document, and finds a part of the poor ones. They weigh as much as ``sound_strength`` and
+    ``poor_strength`` times the number of documents.
+    """
     each = F.sequence(F.lit(0), F.lit(n_rules - 1))
-    state = F.struct(F.lit(first_prior).alias("prior"), F.array_repeat(F.lit(first_rate), n_rules).alias("sound"), F.array_repeat(F.lit(first_rate), n_rules).alias("poor"))
+    state = F.struct(F.lit(prior).alias("prior"), F.array_repeat(F.lit(sound), n_rules).alias("sound"), F.array_repeat(F.lit(poor), n_rules).alias("poor"))
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
 
-    def rate(shares: Column, key: str, value: int) -> Column:
+    n_docs = total(patterns, lambda p: p["n"])
+
+    def rate(shares: Column, key: str, value: int, belief: float, strength: float) -> Column:
         return F.transform(
             each,
-            lambda r: (total(shares, lambda x: F.when(F.get(x["votes"], r) == value, x[key]).otherwise(0.0)) + strength * first_rate)
-            / (total(shares, lambda x: F.when(F.get(x["votes"], r) >= 0, x[key]).otherwise(0.0)) + strength),
+            lambda r: (total(shares, lambda x: F.when(F.get(x["votes"], r) == value, x[key]).otherwise(0.0)) + n_docs * strength * belief)
+            / (total(shares, lambda x: F.when(F.get(x["votes"], r) >= 0, x[key]).otherwise(0.0)) + n_docs * strength),
         )
 
     def step(state: Column, _: Column) -> Column:
@@ -124,9 +132,9 @@ def em(patterns: Column, n_rules: int, rounds: int, first_prior: float = 0.7, fi
         return let(
             shares,
             lambda x: F.struct(
-                ((total(x, lambda y: y["s"]) + strength * first_prior) / (total(x, lambda y: y["s"] + y["p"]) + strength)).alias("prior"),
-                rate(x, "s", 1).alias("sound"),
-                rate(x, "p", 0).alias("poor"),
+                ((total(x, lambda y: y["s"]) + prior) / (n_docs + 1)).alias("prior"),
+                rate(x, "s", 1, sound, sound_strength).alias("sound"),
+                rate(x, "p", 0, poor, poor_strength).alias("poor"),
             ),
         )
 

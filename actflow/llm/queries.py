@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality, toxicity, warc, weak_rules
+from . import decontaminate, line_dedup, lm, near_dup, packing, quality, toxicity, warc, weak_rules
 from .common import table
 from .oracles import ORACLES
 
@@ -39,9 +40,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, n = line_dedup.dedupe_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col(n).cast("long").alias("n_deleted"))
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score_quality(docs, quality.fit_on(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_near_duplicates, op4_quality_rules, op5_decontamination, op6_packing, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_near_duplicates, op4_quality_rules, op5_decontamination, op6_packing, op7_line_dedup, op8_lm_scores, op9_quality)}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm, near_dup, packing, quality, toxicity, warc, weak_rules
+from . import decontaminate, line_dedup, lm, near_dup, packing, pii, quality, toxicity, warc, weak_rules
 from .common import table
 from .oracles import ORACLES
 
@@ -54,4 +54,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_on(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_near_duplicates, op4_quality_rules, op5_decontamination, op6_packing, op7_line_dedup, op8_lm_scores, op9_quality)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_near_duplicates, op4_quality_rules, op5_decontamination, op6_packing, op7_line_dedup, op8_lm_scores, op9_quality, op10_pii)}

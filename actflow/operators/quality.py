@@ -105,7 +105,10 @@ class Unique(QualityCheck):
         object.__setattr__(self, "columns", columns)
 
     def failing(self, df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-        return df.groupBy(*self.columns).agg(F.count("*").alias("n")).filter("n > 1")
+        n = "n"
+        while n in self.columns:
+            n += "_"
+        return df.groupBy(*self.columns).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
 
 
 @dataclass(frozen=True)

@@ -33,4 +33,67 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN places p USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_warc": WARC, "op5_decontamination": DECONTAMINATION}
+# Votes of the six rules from the counts, patterns of votes, 40 rounds of expectation-maximisation over them, posteriors.
+_RATIO = "CASE {v} WHEN 1 THEN ln({s} / (1 - {p})) WHEN 0 THEN ln((1 - {s}) / {p}) ELSE 0 END"
+_LOGIT = "ln(e.prior / (1 - e.prior)) + list_sum(list_transform(range(1, 7), lambda r: " + _RATIO.format(v="{votes}[r]", s="e.sound[r]", p="e.poor[r]") + "))"
+_SHARE = "1 / (1 + exp(-(" + _LOGIT.format(votes="p.v") + ")))"
+
+
+def _rate(key: str, vote: int, belief: float, strength: float) -> str:
+    total = lambda test: f"coalesce(list_sum(list_transform(q, lambda x: CASE WHEN x.v[r] {test} THEN x.{key} ELSE 0 END)), 0) + n_docs * {strength}"
+    return f"list_transform(range(1, 7), lambda r: ({total(f'= {vote}')} * {belief}) / ({total('>= 0')}))"
+
+
+def _vote(poor: str, sound: str) -> str:
+    return f"CASE WHEN n_words = 0 THEN -1 WHEN {poor} THEN 0 WHEN {sound} THEN 1 ELSE -1 END"
+
+
+_VOTES = ", ".join(
+    _vote(*x)
+    for x in (
+        ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+        ("10 * n_upper > 4 * n_letters", "10 * n_upper <= 2 * n_letters"),
+        ("2 * n_letters < word_chars", "10 * n_letters >= 9 * word_chars"),
+        ("3 * n_repeat_words > n_words", "10 * n_repeat_words <= n_words"),
+        ("10 * n_dup_lines > 6 * n_lines", "n_dup_lines = 0"),
+        ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
+    )
+)
+QUALITY_RULES = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+wins AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM wins JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters,
+  coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated USING (doc_id)),
+voted AS (SELECT *, [{_VOTES}] AS v FROM base),
+patterns AS (SELECT list({{'v': v, 'n': n}}) AS ps, sum(n) AS n_docs FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)),
+em AS (
+  SELECT 0 AS i, 0.8::DOUBLE AS prior, [{", ".join(["0.998::DOUBLE"] * 6)}] AS sound, [{", ".join(["0.4::DOUBLE"] * 6)}] AS poor
+  UNION ALL
+  SELECT i + 1, (list_sum(list_transform(q, lambda x: x.s)) + 0.8) / (n_docs + 1), {_rate("s", 1, 0.998, 20)}, {_rate("p", 0, 0.4, 0.1)}
+  FROM (SELECT e.i, n_docs, list_transform(ps, lambda p: {{'v': p.v, 's': p.n * ({_SHARE}), 'p': p.n * (1 - {_SHARE})}}) AS q FROM em e, patterns WHERE e.i < 40))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({_LOGIT.format(votes="voted.v")}))) >= 0.5 AS kept
+FROM voted, em e WHERE e.i = 40
+"""
+
+# Shortest runs of 50 words from and to each line with a word; of equal runs all but the first go, unless they overlap it.
+LINE_DEDUP = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, pos, ls[pos] AS line, len(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+')) AS nw FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM l)),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ord, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM x WHERE nw > 0),
+d AS (SELECT doc_id, list(line ORDER BY ord) AS lines, list(pos ORDER BY ord) AS p FROM y GROUP BY doc_id),
+enough AS (SELECT a.doc_id, a.ord AS i, b.ord AS j FROM y a JOIN y b ON a.doc_id = b.doc_id AND b.ord >= a.ord AND b.upto - a.upto + a.nw >= 50),
+runs AS (SELECT doc_id, i, min(j) AS j FROM enough GROUP BY doc_id, i UNION SELECT doc_id, max(i), j FROM enough GROUP BY doc_id, j),
+named AS (SELECT r.doc_id, i, j, p, list_slice(lines, i, j) AS run FROM runs r JOIN d USING (doc_id)),
+first AS (SELECT run, min({'d': doc_id, 'i': i}) AS f FROM named GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT place) AS gone FROM (SELECT doc_id, unnest(range(p[i], p[j] + 1)) AS place FROM named JOIN first USING (run) WHERE doc_id <> f.d OR i >= f.i + len(run)) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ls[k]), chr(10)) END AS text,
+  coalesce(len(gone), 0)::BIGINT AS n_deleted
+FROM l LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op4_quality_rules": QUALITY_RULES, "op5_decontamination": DECONTAMINATION}

@@ -28,7 +28,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_rules.judge(table(spark, sf_dir, "documents"))
+    return weak_rules.judge(table(spark, sf_dir, "documents")).drop("posterior")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

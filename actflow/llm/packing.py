@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import col, materialize
 
-#: Words that a worker remembers at most, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Words, and words without case and closing stop, that a worker remembers at most; the longest of them;
+#: characters of text whose unknown words are encoded together.
+CACHE_WORDS, CACHE_CORES, CACHE_CHARS, GROUP_CHARS = 400_000, 400_000, 48, 4_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -45,7 +48,10 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes, word by word.
 
     The tokenizer drops white space before it splits, and none of its rules reach across it, so the ids
-    of a text are those of its words in turn. Only spaces, tabs and line feeds are split at here.
+    of a text are those of its words in turn. Only spaces, tabs and line feeds are split at here. The
+    tokenizer also ignores case, and splits letters from other signs: a word of Latin letters with a full
+    stop or comma after it has the ids of the lower-case letters and those of the sign. Words that are
+    remembered first stay: frequent ones come early.
     """
 
     def __init__(self, path: str):
@@ -53,26 +59,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def add(self, words: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, encoded)}
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = self.plain([".", ","])
+
+    def plain(self, words: list[str]) -> dict[str, bytes]:
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))}
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """The part that is looked up, and the sign after it."""
+        sign = word[-1] if word[-1] in ".," else ""
+        core = word[:-1] if sign else word
+        return (core.lower(), sign) if core.isalpha() and max(core) < "\u0100" else (word, "")
+
+    def add(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of unknown words; those for which there is room are remembered."""
+        parts = {w: self.split(w) for w in missing}
+        new = self.plain(list({c for c, _ in parts.values() if c not in self.cores}))
+        room = CACHE_CORES - len(self.cores)
+        if room > 0:
+            self.cores.update((c, i) for c, i in islice(new.items(), room) if len(c) <= CACHE_CHARS)
+        got = {w: (new[c] if c in new else self.cores[c]) + (self.cores[s] if s else b"") for w, (c, s) in parts.items()}
+        room = CACHE_WORDS - len(self.words)
+        if room > 0:
+            self.words.update((w, i) for w, i in islice(got.items(), room) if len(w) <= CACHE_CHARS)
+        return got
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for t in texts:
-            words = (t or "").replace("\n", " ").replace("\t", " ").split(" ")
-            missing = list({w for w in words if w not in self.known})
-            extra: dict[str, bytes] = {}
-            if missing:
-                new = self.add(missing)
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known = {"": b""}
-                    missing = list({w for w in words if w not in new and w})
-                    new |= self.add(missing) if missing else {}
-                for w, ids in new.items():
-                    (self.known if len(w) <= CACHE_CHARS and len(self.known) < CACHE_WORDS else extra)[w] = ids
-            yield b"".join([self.known[w] if w in self.known else extra[w] for w in words]) if extra else b"".join(map(self.known.__getitem__, words))
+        at = 0
+        while at < len(texts):
+            group, chars = [], 0
+            while at < len(texts) and (not group or chars < GROUP_CHARS):
+                t = texts[at] or ""
+                group.append(t.replace("\n", " ").replace("\t", " ").split(" "))
+                chars += len(t)
+                at += 1
+            known = self.words
+            missing = {w for words in group for w in words if w not in known}
+            more = self.add(missing) if missing else {}
+            for words in group:
+                yield b"".join([known[w] if w in known else more[w] for w in words])
 
 
 def encoder(path: str) -> Encoder:

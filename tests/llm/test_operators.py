@@ -244,13 +244,15 @@ def test_packing(spark, sf):
 def test_plan_respects_every_capacity(rule):
     rng = np.random.default_rng(3)
     counts = Counter(rng.integers(1, 101, 5000).tolist())
-    plan = packing.plan_patterns(counts, 100, 4, 4000, rule)
+    plan = packing.plan_patterns(counts, 100, 4, 10000, rule)
     packed = Counter()
     for lengths, n in plan:
         assert sum(lengths) <= 100 and len(lengths) <= 4 and sum(x * x for x in lengths) <= 10000
         for x in lengths:
             packed[x] += n
-    assert packed == counts if all(c * c <= 4000 for c in counts) else True
+    assert packed == counts
+    with pytest.raises(ValueError):
+        packing.plan_patterns({100: 1}, 100, 4, 4000, rule)
 
 
 # --- 7 line dedup

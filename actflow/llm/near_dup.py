@@ -14,7 +14,7 @@ with the probability of their weighted Jaccard similarity.
 Texts with equal words are one node. Bands of the signature put nodes into
 buckets. In a bucket, a few leaders are compared with the members of other
 groups, by the exact weighted Jaccard similarity of hashed shingles; links
-merge groups; leaders are added, doubling, until no two members of a bucket
+merge groups; leaders are added, many more in each round, until no two members of a bucket
 that stand in different groups are left uncompared. So no link that a bucket
 offers is lost, and members of one group are not compared with one another.
 Groups are then connected components.
@@ -41,9 +41,10 @@ from .common import col, fresh, materialize, with_fields
 
 #: Words a worker remembers at most.
 CACHE_WORDS = 300_000
+#: Leaders of a bucket from its largest group, and the first ones from its small groups.
+LARGE_LEADERS, SMALL_LEADERS = 3, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class WordHashes(dict):
@@ -78,9 +79,9 @@ def shingles(words: list[bytes], hashes: WordHashes, size: int = 5) -> tuple[np.
         for x in w:
             h = mix(h * _G + x)
         return h, np.ones(1, np.int64)
-    h = np.zeros(n - size + 1, np.uint64)
+    h, odd = np.zeros(n - size + 1, np.uint64), mix(np.arange(1, size + 1, dtype=np.uint64) * _G) | np.uint64(1)
     for i in range(size):
-        h += mix(w[i : n - size + 1 + i] + np.uint64(i * int(_G) % 2**64)) * _FOLD[i % len(_FOLD)]
+        h += w[i : n - size + 1 + i] * odd[i]
     return np.unique(mix(h), return_counts=True)
 
 
@@ -103,10 +104,10 @@ def darts(elements: np.ndarray, weights: np.ndarray, below: float) -> tuple[np.n
     else:
         cells, room = mix(elements), np.asarray(weights, np.float64)
     found_h, found_t = [], []
+    part = bool(len(room)) and room.min() < 1  # elements that don't fill their last unit
 
     def take(h: np.ndarray, t: np.ndarray, r: np.ndarray) -> None:
-        place = (mix(h ^ _B) >> np.uint64(11)).astype(np.float64) * 2.0**-53 if r.min(initial=1) < 1 else None
-        hit = slice(None) if place is None else place < r
+        hit = (mix(h ^ _B) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < r if part else slice(None)
         found_h.append(h[hit])
         found_t.append(t[hit])
 
@@ -138,27 +139,37 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarra
     below = size * (np.log(size) + 2) / float(np.sum(weights))
     while True:
         h, t = darts(elements, weights, below)
-        coordinate = mix(h ^ _A) % np.uint64(size)
-        order = np.argsort(t, kind="stable")
-        have, first = np.unique(coordinate[order], return_index=True)
-        if len(have) == size:
-            return h[order][first]
+        late_first = np.argsort(t)[::-1]
+        best = np.full(size, -1)
+        best[(mix(h ^ _A) % np.uint64(size)).astype(np.int64)[late_first]] = late_first  # the earliest is written last
+        if best.min() >= 0:
+            return h[best]
         below *= 2
 
 
-def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    out = np.arange(1, bands + 1, dtype=np.uint64) * _G
-    for r in range(rows):
-        out = mix(out * _FOLD[1] + sig[r::rows])
+def band_coordinates(size: int, bands: int, rows: int) -> np.ndarray:
+    """Which coordinates make up each band: slices of fixed permutations, so that all are used about equally often."""
+    rng = np.random.default_rng(11)
+    each = size // rows
+    order = [rng.permutation(size)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))]
+    return np.concatenate(order)[:bands]
+
+
+def band_hashes(sig: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
+    out = np.arange(1, len(coordinates) + 1, dtype=np.uint64) * _G
+    for r in range(coordinates.shape[1]):
+        out = mix(out * _A + sig[coordinates[:, r]])
     return out.view(np.int64)
 
 
-def with_signatures(docs: DataFrame, text: str, bands: int, rows: int, size: int) -> tuple[DataFrame, str, str]:
+def with_signatures(docs: DataFrame, text: str, coordinates: int, bands: int, rows: int, size: int) -> tuple[DataFrame, str, str]:
     """``docs`` with a key of its words (null if there are none) and its bands; their names."""
     key, band = fresh(docs, "words_key"), fresh(docs, "bands")
     at, n = docs.columns.index(text), len(docs.columns)
     schema = with_fields(docs.schema, (key, T.BinaryType()), (band, T.ArrayType(T.LongType())))
 
+    places = band_coordinates(coordinates, bands, rows)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -166,14 +177,14 @@ def with_signatures(docs: DataFrame, text: str, bands: int, rows: int, size: int
             for t in batch.column(at).to_pylist():
                 words = words_of(t or "")
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                found.append(band_hashes(signature(*shingles(words, hashes, size), bands * rows), bands, rows) if words else [])
+                found.append(band_hashes(signature(*shingles(words, hashes, size), coordinates), places) if words else [])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.mapInArrow(sign, schema), key, band
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """key, text -> key, elements: each shingle as 32-bit numbers, one for each time it occurs, sorted."""
+    """node, text -> node, elements: each shingle as 32-bit numbers, one for each time it occurs, sorted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -185,9 +196,9 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                     owner = np.repeat(np.arange(len(n)), n)
                     h = mix(h[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * _B)
                 out.append(np.sort((h >> np.uint64(32)).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
 
-    return texts.mapInArrow(sets, "key binary, elements binary")
+    return texts.mapInArrow(sets, "node long, elements binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -200,34 +211,38 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, root (the least node of its component) for every node of ``edges`` (a, b).
 
-    Each round takes the least label among a node and its neighbours and then that label's own label.
+    Each round takes the least label among a node and its neighbours, and from the third round on that
+    label's own label, which halves long chains.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), label)
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("least"))
-        moved = labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "least").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = materialize(moved.join(jump, "root", "left").select("node", "old", F.least("root", "up").alias("root")), label)
-        changed = new.filter("old <> root").isEmpty()
-        labels = new.select("node", "root")
-        if changed:
-            return labels
-
-
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), F.col("a").alias("old"), "root"), label)
+    turn = 1
+    while not labels.filter("old <> root").isEmpty():
+        turn += 1
+        known = labels.select("node", "root")
+        near = both.join(known, both.b == known.node).select(F.col("a").alias("node"), F.lit(None).cast("long").alias("old"), "root")
+        new = near.unionByName(labels.select("node", F.col("root").alias("old"), "root")).groupBy("node").agg(F.max("old").alias("old"), F.min("root").alias("root"))
+        if turn > 2:
+            jump = known.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            new = new.join(jump, "root", "left").select("node", "old", F.least("root", "up").alias("root"))
+        labels = materialize(new, label)
+    return labels.select("node", "root")
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, coordinates: int = 200, bands: int = 50, rows: int = 8, size: int = 5) -> DataFrame:
     """doc_id, class_id, text_hash, kept of every row: class_id is the least doc_id of its class, kept marks one document of each class."""
     narrow = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    signed, key, band = with_signatures(narrow, "text", bands, rows, size)
+    signed, key, band = with_signatures(narrow, "text", coordinates, bands, rows, size)
     signed = materialize(signed.select("doc_id", text_hash("text").alias("text_hash"), F.col(key).alias("key"), F.col(band).alias("bands")), "signatures")
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     nodes = signed.filter("key is not null").groupBy("key").agg(F.min(name).alias("least"), F.first("bands").alias("bands"))
-    entries = nodes.select("key", F.explode("bands").alias("bucket"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = materialize(entries.join(shared, "bucket"), "buckets")
-    groups = _groups(members, _sets(narrow, members, size), threshold)
+    groups = _groups(members, _sets(narrow, nodes, members, size), threshold).select(F.col("node").alias("member"), "root")
 
-    named = nodes.select("key", "least").join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = nodes.select("key", "node", "least").join(groups, F.col("node") == F.col("member"), "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("first"))
     by_key = named.join(classes, "root").select("key", "first")
     alone = F.col("key").isNull()
@@ -243,70 +258,104 @@ def text_hash(text: str) -> Column:
     return F.xxhash64(col(text).cast("string"))
 
 
-def _sets(narrow: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """key, elements, n of the nodes that share a bucket."""
+def _sets(narrow: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """node, elements, n of the nodes that share a bucket."""
     keyed, key = _with_key(narrow)
-    wanted = members.select(F.col("key").alias("wanted")).distinct()
-    found = keyed.join(wanted, keyed[key] == F.col("wanted"), "left_semi").groupBy(F.col(key).alias("key")).agg(F.first("text").alias("text"))
+    wanted = nodes.select("node", F.col("key").alias("wanted")).join(members.select("node").distinct(), "node", "left_semi")
+    found = keyed.join(wanted, keyed[key] == F.col("wanted")).groupBy("node").agg(F.first("text").alias("text"))
     return materialize(shingle_sets(found, size).withColumn("n", F.octet_length("elements")), "shingles")
 
 
 def _groups(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, root: components of the similar pairs among the members (bucket, key) of a bucket."""
+    """node, root: components of the similar pairs among the members (bucket, node) of a bucket."""
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([weighted_jaccard(x, y) >= threshold - 1e-9 for x, y in zip(a, b)], dtype="bool")
 
-    sized = [sets.select(F.col("key").alias(k), F.col("n").alias(f"{k}_n")) for k in ("a", "b")]
-    left, right = (sets.select(F.col("key").alias(k), F.col("elements").alias(f"{k}_set")) for k in ("a", "b"))
+    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"{k}_set"), F.col("n").alias(f"{k}_n")) for k in ("a", "b"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) that are similar. A pair of very different sizes can't be."""
-        near = pairs.join(sized[0], "a").join(sized[1], "b").filter(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")).select("a", "b")
-        return near.join(left, "a").join(right, "b").filter(similarity("a_set", "b_set") >= threshold).select("a", "b")
+        sized = pairs.join(left, "a").join(right, "b").filter(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-6)
+        return sized.filter(similar("a_set", "b_set")).select("a", "b")
 
     # First one leader a bucket: its least member, which tends to lead in several buckets.
-    first = members.groupBy("bucket").agg(F.min("key").alias("a"))
-    pairs = materialize(members.join(first, "bucket").filter("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs")
-    compared, edges, leaders = pairs, materialize(links(pairs), "links"), 2
+    first = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = materialize(members.join(first, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    compared, edges = pairs, materialize(links(pairs), "links")
     groups = components(edges)
+    # What is left: buckets whose members stand in several groups. Their roles are settled here, once: the
+    # members of the largest group, and all others (small). Every small member leads in the end.
+    small = materialize(_roles(_mixed(members, groups)), "roles")
+    most = small.agg(F.max("n_small")).first()[0]
+    if most is None:
+        return groups
+    lists = small.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
+    small = small.join(lists, "node")
+    small = materialize(small.join(_own_shingles(sets.join(small.select("node").distinct(), "node", "left_semi")), "node"), "roles")
+    low, high, from_largest = 0, LARGE_LEADERS, True
     while True:
-        labelled = members.join(groups, members.key == groups.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-        active = materialize(labelled.join(mixed, "bucket"), "mixed")
-        small = _small_members(active)
-        most = small.agg(F.max("n_small")).first()[0]
-        if most is None:
+        now = _mixed(small, groups)
+        pairs = materialize(_cross_pairs(now, from_largest, low, high, threshold).join(compared, ["a", "b"], "left_anti"), "pairs")
+        new = materialize(links(pairs), "links")
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            groups = components(edges)
+        if not from_largest and high > most:
             return groups
-        pairs = materialize(_cross_pairs(active, small, leaders).join(compared, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if leaders >= most:
-                return groups
-        else:
-            compared = compared.unionByName(pairs)
-            new = materialize(links(pairs), "links")
-            if not new.isEmpty():
-                edges = edges.unionByName(new)
-                groups = components(edges)
-        leaders *= 2
-
-
-def _small_members(active: DataFrame) -> DataFrame:
-    """The members of every bucket that aren't in its largest group, and how many there are: bucket, x, x_root, n_small."""
+        compared = compared.unionByName(pairs)
+        low, high, from_largest = (0, SMALL_LEADERS, False) if from_largest else (high, high * 16, False)
+
+
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets with several groups, with their roots."""
+    known = members.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    return known.join(mixed, "bucket")
+
+
+def _roles(active: DataFrame) -> DataFrame:
+    """bucket, node, in_largest, n_small, place: whether a member is in its bucket's largest group; how many aren't; a hashed place among its like."""
     sizes = active.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("n_small"))
-    return active.join(largest, "bucket").filter("root <> largest").select("bucket", F.col("key").alias("x"), F.col("root").alias("x_root"), "n_small")
+    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_large"), (F.sum("n") - F.max("n")).alias("n_small"))
+    inside = F.col("root") == F.col("largest")
+    share = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) / (1 << 20)
+    return active.join(largest, "bucket").select("bucket", "node", inside.alias("in_largest"), "n_small", (share * F.when(inside, F.col("n_large")).otherwise(F.col("n_small"))).alias("place"))
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """node, n, shared: how many shingles a node has, and how many of them any other of these nodes has too."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.frombuffer(e, "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node, np.int64))], names=["h", "node"])
+
+    rows = sets.select("node", "elements").mapInArrow(each, "h long, node long")
+    alone = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    n = (F.col("n") / 4).cast("long")
+    return sets.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def _cross_pairs(active: DataFrame, small: DataFrame, leaders: int) -> DataFrame:
-    """Pairs of about ``leaders`` of a bucket's small-group members (all of them, if there are no more) with its members of other groups.
+def _cross_pairs(members: DataFrame, from_largest: bool, low: int, high: int, threshold: float) -> DataFrame:
+    """Pairs of leaders, the members with places from ``low`` to ``high``, with members of other groups in their bucket.
 
-    When all of them have led, every two members in different groups have met.
+    Leaders of the largest group meet the small members only. Small leaders meet all; when every small member
+    has led, all members in different groups have met. Pairs that can't be similar are left out: what two
+    nodes have in common is no more than either shares with anyone.
     """
-    led = small.filter(F.pmod(F.xxhash64("x", "bucket"), F.greatest(F.lit(1), F.col("n_small") / leaders).cast("long")) == 0)
-    met = active.join(led, "bucket").filter("root <> x_root")
-    return met.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct()
+    role = F.col("in_largest") if from_largest else ~F.col("in_largest")
+    led = members.filter(role & (F.col("place") >= low) & (F.col("place") < high)).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "shared", "buckets")))
+    others = members.filter(~F.col("in_largest")) if from_largest else members
+    both = F.least("shared", "x_shared")
+    apart = (F.col("root") != F.col("x_root")) & (both >= threshold * (F.col("n") + F.col("x_n") - both) - 1e-6)
+    # Two members may share many buckets. Small leaders meet others in the least one, where, since they stand
+    # in different groups, not both are of the largest. Leaders of the largest group meet them in all.
+    here = F.lit(True) if from_largest else F.array_min(F.array_intersect("buckets", "x_buckets")) == F.col("bucket")
+    met = others.join(led, "bucket").filter(apart & here)
+    return met.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
 
 
 def _with_key(narrow: DataFrame) -> tuple[DataFrame, str]:

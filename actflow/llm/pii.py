@@ -5,8 +5,8 @@ and checked (parts of addresses, check digits, numbers of digits). A failing
 match is dropped without another try.
 
 Information-theoretic sanitisation adds spans. The entity protected is the value
-of a base span. A term near an entity (one of ``reach`` words on either side of
-its mention) may disclose it: with N documents, n(e) that hold the entity, n(t)
+of a base span. A term near an entity (one of ``reach`` words of the text on
+either side of its mention, other matches included) may disclose it: with N documents, n(e) that hold the entity, n(t)
 that hold the term and n(e, t) that hold the term near the entity, the pointwise
 mutual information log(N n(e, t) / (n(e) n(t))) is how much the term tells of
 the entity, out of the entity's own information log(N / n(e)). Terms whose share
@@ -42,7 +42,6 @@ PATTERNS = {
 HINTS = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
 TERM = r"^\p{L}{3,}$"
-CONTEXT = 240
 
 
 def _digits(m: Column) -> Column:
@@ -76,8 +75,9 @@ def valid(kind: Column, m: Column) -> Column:
 
 
 def _matches(text: str) -> Column:
-    """Array of (kind, number, gap before, match, some of the text before and after), all kinds."""
+    """Array of (kind, number, gap before, match, words that begin in the gap and in the match, whether a word goes on behind it), all kinds."""
     t = F.col(text)
+    begun = lambda x: x.rlike(rf"^{WORD}")
 
     def of(k: int, kind: str) -> Column:
         found = F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))
@@ -86,30 +86,43 @@ def _matches(text: str) -> Column:
             F.lit(k).alias("kind"), i.alias("i"), m.alias("m")
         )
         pairs = F.arrays_zip(F.transform(found, one).alias("f"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), F.slice(gaps, F.lit(2), F.size(found)).alias("then"))
+        # Matches begin and end with characters of words: a piece that begins inside a word has one word less of its own.
+        in_gap = lambda p: F.regexp_count(p["gap"], F.lit(WORD)) - ((p["f"]["i"] > 0) & begun(p["gap"])).cast("int")
+        inside = lambda p: F.when(p["gap"] == "", p["f"]["i"] > 0).otherwise(p["gap"].rlike(rf"{WORD}\z"))
+        in_match = lambda p: F.regexp_count(p["f"]["m"], F.lit(WORD)) - inside(p).cast("int")
         row = F.transform(
             pairs,
             lambda p: F.struct(
-                p["f"]["kind"].alias("kind"), p["f"]["i"].alias("i"), F.length(p["gap"]).alias("gap"), p["f"]["m"].alias("m"), F.substring(p["gap"], -CONTEXT, CONTEXT).alias("left"), F.substring(p["then"], 1, CONTEXT).alias("right")
+                p["f"]["kind"].alias("kind"), p["f"]["i"].alias("i"), F.length(p["gap"]).alias("gap"), p["f"]["m"].alias("m"), in_gap(p).alias("in_gap"), in_match(p).alias("in_match"), begun(p["then"]).alias("open")
             ),
         )
-        none = F.array().cast("array<struct<kind:int,i:int,gap:int,m:string,left:string,right:string>>")
+        none = F.array().cast("array<struct<kind:int,i:int,gap:int,m:string,in_gap:int,in_match:int,open:boolean>>")
         return F.when(t.rlike(HINTS[kind]), row).otherwise(none)
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
 
 
-def base_spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Keys of all rows (d, th), and the valid matches of each key: d, th, kind, s, e, m, left, right."""
+def base_spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys of all rows (d, th); the valid matches of each key: row (a number of the key), d, th, kind, s, e, m,
+    and how many words begin before s (before) and before e and don't go on behind it (after); texts that have any: row, t.
+    """
     t = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(col(doc_id).alias("d"), t.alias("t"))
-    found = materialize(rows.select("d", F.xxhash64("t").alias("th"), _matches("t").alias("found")), "matches")
-    one = found.filter(F.size("found") > 0).groupBy("d", "th").agg(F.first("found").alias("found"))
-    each = one.select("d", "th", F.inline("found"))
-    n = F.length("m")
-    end = F.sum(F.col("gap") + n).over(Window.partitionBy("d", "th", "kind").orderBy("i"))
-    placed = each.withColumn("e", end.cast("long")).withColumn("s", F.col("e") - n)
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    return found.select("d", "th"), materialize(placed.filter(valid(kind, F.col("m"))).drop("gap", "i"), "spans")
+    kind = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    matched = rows.select("d", F.xxhash64("t").alias("th"), "t", _matches("t").alias("found"))
+    any_valid = F.exists("found", lambda x: valid(kind(x["kind"]), x["m"]))
+    found = materialize(matched.select("d", "th", F.when(any_valid, F.col("t")).alias("t"), "found"), "matches")
+    one = found.filter("t is not null").groupBy("d", "th").agg(F.first("found").alias("found"), F.first("t").alias("t"))
+    one = materialize(one.withColumn("row", F.monotonically_increasing_id()), "rows")
+    each = one.select("row", "d", "th", F.inline("found"))
+    n, order = F.length("m"), Window.partitionBy("row", "kind").orderBy("i")
+    begun = F.sum(F.col("in_gap") + F.col("in_match")).over(order)
+    # Behind a match with no gap stands the next one, if any.
+    going_on = F.col("open") | F.coalesce(F.lead("gap").over(order) == 0, F.lit(False))
+    placed = each.select(
+        "row", "d", "th", "kind", "m", F.sum(F.col("gap") + n).over(order).cast("long").alias("e"), (begun - F.col("in_match")).alias("before"), (begun - going_on.cast("int")).alias("after")
+    ).withColumn("s", F.col("e") - n)
+    return found.select("d", "th"), materialize(placed.filter(valid(kind(F.col("kind")), F.col("m"))), "spans"), one.select("row", "t")
 
 
 def _term(word: Column) -> Column:
@@ -118,30 +131,25 @@ def _term(word: Column) -> Column:
     return F.when(core.rlike(TERM), F.lower(core))
 
 
-def context_terms(spans: DataFrame, reach: int) -> DataFrame:
-    """Terms within ``reach`` words of a span: d, th, entity, term (hash), s, e."""
-    # A word cut by the context's edge isn't whole and is left out.
-    whole_left = F.when(F.length("left") == CONTEXT, F.regexp_replace("left", r"^[^\x20\x09-\x0D]+", "")).otherwise(F.col("left"))
-    whole_right = F.when(F.length("right") == CONTEXT, F.regexp_replace("right", r"[^\x20\x09-\x0D]+$", "")).otherwise(F.col("right"))
-    # Words with the spaces that follow (left) or come before (right): their lengths add up to places.
-    before = F.reverse(F.slice(F.reverse(F.regexp_extract_all(whole_left, F.lit(rf"({WORD})[\x20\x09-\x0D]*"), F.lit(0))), 1, reach))
-    after = F.slice(F.regexp_extract_all(whole_right, F.lit(rf"[\x20\x09-\x0D]*({WORD})"), F.lit(0)), 1, reach)
-    length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+def context_terms(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
+    """Terms within ``reach`` words of a span: row, d, th, entity, term (hash), s, e."""
+    # Words with the spaces that come before: their lengths add up to places.
+    pieces = texts.select("row", F.posexplode(F.regexp_extract_all("t", F.lit(rf"[\x20\x09-\x0D]*({WORD})"), F.lit(0))).alias("i", "w"))
+    end = F.sum(F.length("w")).over(Window.partitionBy("row").orderBy("i"))
+    words = pieces.select("row", "i", end.alias("end"), F.ltrim(F.translate("w", "\t\n\x0b\x0c\r", "     ")).alias("w"))
     entity = F.xxhash64("kind", F.lower("m"))
-    rows = spans.select("d", "th", entity.alias("entity"), "s", "e", before.alias("before"), after.alias("after"))
-    left = rows.select("d", "th", "entity", "before", F.col("s").alias("edge"), F.posexplode("before").alias("i", "w")).select(
-        "d", "th", "entity", F.rtrim(F.translate("w", "\t\n\x0b\x0c\r", "     ")).alias("w"), (F.col("edge") - length(F.slice("before", F.col("i") + 1, reach))).alias("at")
-    )
-    right = rows.select("d", "th", "entity", "after", F.col("e").alias("edge"), F.posexplode("after").alias("i", "w")).select(
-        "d",
-        "th",
-        "entity",
-        F.ltrim(F.translate("w", "\t\n\x0b\x0c\r", "     ")).alias("w"),
-        (F.col("edge") + length(F.slice("after", F.lit(1), F.col("i") + 1)) - F.length(F.ltrim(F.translate("w", "\t\n\x0b\x0c\r", "     ")))).alias("at"),
-    )
-    words = left.unionByName(right).withColumn("core", _term(F.col("w"))).filter("core is not null")
+    k = F.explode(F.sequence(F.lit(0), F.lit(reach)))
+    steps = spans.select("row", "d", "th", entity.alias("entity"), F.col("s").alias("from"), F.col("e").alias("to"), "before", "after", k.alias("k")).filter("k > 0")
+    side = lambda i, left: F.struct(i.cast("int").alias("i"), F.lit(left).alias("left"))
+    sides = F.array(side(F.col("before") - F.col("k"), True), side(F.col("after") + F.col("k") - 1, False))
+    wanted = steps.select("row", "d", "th", "entity", "from", "to", F.inline(sides)).filter("i >= 0")
+    # A word that the span is a part of counts with its part before or behind the span.
+    at = F.col("end") - F.length("w")
+    near = wanted.join(words, ["row", "i"]).withColumn("at", F.when(F.col("left"), at).otherwise(F.greatest(at, "to")))
+    cut = F.when(F.col("left"), F.substring("w", F.lit(1), (F.least("end", "from") - at).cast("int"))).otherwise(F.substring("w", (F.col("at") - at + 1).cast("int"), F.length("w")))
+    terms = near.withColumn("w", cut).withColumn("core", _term(F.col("w"))).filter("core is not null")
     start = F.col("at") + F.length(F.regexp_extract("w", r"^[^\p{L}\p{N}]*", 0))
-    return words.select("d", "th", "entity", F.xxhash64("core").alias("term"), start.cast("long").alias("s"), (start + F.length("core")).cast("long").alias("e"))
+    return terms.select("row", "d", "th", "entity", F.xxhash64("core").alias("term"), start.cast("long").alias("s"), (start + F.length("core")).cast("long").alias("e"))
 
 
 def document_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -154,8 +162,8 @@ def document_counts(docs: DataFrame, text: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
     """entity, term: pairs in which the term discloses the entity."""
     n_docs = docs.count()
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("d", "th").alias("n_et"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
-    entities = near.groupBy("entity").agg(F.countDistinct("d", "th").alias("n_e"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
+    entities = near.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
     counts = document_counts(docs, text)
     joined = pairs.join(entities, "entity").join(counts, "term")
     info = F.log(F.lit(float(n_docs)) / F.col("n_e"))
@@ -165,8 +173,8 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, threshold: flo
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 8, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """doc_id, th, base and terms (arrays of start, kind number, end) of every row."""
-    keys, spans = base_spans(docs, doc_id, text)
-    near = materialize(context_terms(spans, reach), "near")
+    keys, spans, texts = base_spans(docs, doc_id, text)
+    near = materialize(context_terms(spans, texts, reach), "near")
     terms = near.join(disclosing_terms(docs, near, text, threshold, support), ["entity", "term"]).select("d", "th", F.lit(len(KINDS)).alias("kind"), "s", "e").distinct()
     every = spans.select("d", "th", "kind", "s", "e").unionByName(terms)
     span = F.struct(F.col("s"), F.col("kind"), F.col("e"))

@@ -399,6 +399,30 @@ def test_pii_terms(spark):
     assert pii.report(pii.find_spans(odd(spark))).count() == 8 and pii.find_spans(odd(spark).limit(0)).count() == 0
 
 
+def test_pii_context_is_words_of_the_text(spark):
+    card, mail = "4111 1111 1111 1111", "zed@x.com"
+    long = "y" * 200
+    texts = [
+        f"card {card} exp 12/28 Zorblax", f"{mail} b@y.org {mail}, Alpha c@z.net beta", f"Early {long} {long} {long}\t{mail} {long} {long} Later", f"name:{mail}:tail +49 (30) 1234567 12 {card}x", f"{mail}{mail} 1.2.3.4.5.6.7.8 end",
+        "one two three four five six seven eight nine 1.2.3.4 one two three four five six seven eight nine", None, "",
+    ]
+    _, spans, found = pii.base_spans(docs(spark, texts), "doc_id", "text")
+    got = {(r.d, r.entity, r.term, r.s, r.e) for r in pii.context_terms(spans, found, 8).collect()}
+    cut, want = [], set()
+    for r in spans.collect():
+        t = texts[r.d]
+        left = [(m.start(), m[0]) for m in WORD.finditer(t[: r.s])][-8:]
+        right = [(r.e + m.start(), m[0]) for m in WORD.finditer(t[r.e :])][:8]
+        for at, w in left + right:
+            core = w.strip("(),:")
+            if len(core) >= 3 and core.isalpha():
+                at += w.index(core)
+                cut.append((r.d, r.kind, r.m.lower(), core.lower(), at, at + len(core)))
+    h = spark.createDataFrame(cut, "d long, kind int, m string, core string, s long, e long").select("d", F.xxhash64("kind", "m").alias("entity"), F.xxhash64("core").alias("term"), "s", "e")
+    want = set(map(tuple, h.collect()))
+    assert got == want and any(c[0] == 0 and c[3] == "zorblax" for c in cut) and any(c[3] == "later" for c in cut)
+
+
 # --- queries
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf, name):

@@ -11,7 +11,9 @@ that hold the term and n(e, t) that hold the term near the entity, the pointwise
 mutual information log(N n(e, t) / (n(e) n(t))) is how much the term tells of
 the entity, out of the entity's own information log(N / n(e)). Terms whose share
 reaches ``threshold``, and that were seen near the entity in ``support``
-different texts, are spans of kind "term" where they stand near that entity.
+different texts, are spans of kind "term" wherever they stand, in all documents,
+unless they are part of a base span. An entity seen in fewer texts has no terms:
+one or two sightings don't tell a disclosing word from a chance neighbour.
 ``sanitise`` generalises base spans to their kind and removes such terms.
 
 Counts cover all documents. Terms are lower-cased words without outer
@@ -42,6 +44,8 @@ PATTERNS = {
 HINTS = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
 TERM = r"^\p{L}{3,}$"
+#: A term anywhere in a text.
+RUN = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"
 
 
 def _digits(m: Column) -> Column:
@@ -152,19 +156,45 @@ def context_terms(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
     return terms.select("row", "d", "th", "entity", F.xxhash64("core").alias("term"), start.cast("long").alias("s"), (start + F.length("core")).cast("long").alias("e"))
 
 
-def document_counts(docs: DataFrame, text: str) -> DataFrame:
-    """term (hash), n: how many documents hold each term."""
-    words = F.regexp_extract_all(F.lower(col(text).cast("string")), F.lit(r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"), F.lit(0))
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return docs.select(F.explode(hashes).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+def document_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """d, th, term (hash): the distinct terms of every row."""
+    t = F.coalesce(col(text).cast("string"), F.lit(""))
+    hashes = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    return docs.select(col(doc_id).alias("d"), F.xxhash64(t).alias("th"), F.explode(hashes).alias("term"))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
+def all_places(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Every place of the given terms (hashes) in any document: d, th, s, e."""
+    t = F.coalesce(col(text).cast("string"), F.lit(""))
+    holding = document_terms(docs, doc_id, text).join(terms, "term").select(F.col("d").alias("hd"), F.col("th").alias("hh")).distinct()
+    rows = docs.select(col(doc_id).alias("d"), F.xxhash64(t).alias("th"), t.alias("t"))
+    held = rows.join(holding, F.col("d").eqNullSafe(F.col("hd")) & (F.col("th") == F.col("hh")), "left_semi")
+    # Rows that repeat an id and a text are one.
+    once = materialize(held.groupBy("d", "th").agg(F.first("t").alias("t")).withColumn("row", F.monotonically_increasing_id()), "holding")
+    words, gaps = F.regexp_extract_all("t", F.lit(RUN), F.lit(0)), F.split("t", RUN, -1)
+    piece = lambda w, gap: F.struct(F.xxhash64(F.lower(w)).alias("term"), F.length(w).alias("n"), F.length(gap).alias("gap"))
+    each = once.select("row", "d", "th", words.alias("w"), gaps.alias("g")).select("row", "d", "th", F.zip_with("w", F.slice("g", F.lit(1), F.size("w")), piece).alias("p"))
+    each = each.select("row", "d", "th", F.posexplode("p").alias("i", "p")).select("row", "d", "th", "i", "p.*")
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row").orderBy("i"))
+    return each.withColumn("e", end.cast("long")).join(terms, "term").select("d", "th", (F.col("e") - F.col("n")).alias("s"), "e")
+
+
+def apart(terms: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans of ``terms`` (d, th, s, e) that share no character with base spans, which go as a whole anyway."""
+    every = terms.select("d", "th", "s", "e", F.lit(False).alias("base")).unionByName(spans.select("d", "th", "s", "e", F.lit(True).alias("base")))
+    of_row = Window.partitionBy("d", "th")
+    before = F.max(F.when(F.col("base"), F.col("e"))).over(of_row.orderBy("s", F.desc("base")).rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.min(F.when(F.col("base"), F.col("s"))).over(of_row.orderBy(F.desc("s"), F.desc("base")).rowsBetween(Window.unboundedPreceding, 0))
+    free = (F.coalesce("before", "s") <= F.col("s")) & (F.coalesce("behind", "e") >= F.col("e"))
+    return every.withColumn("before", before).withColumn("behind", behind).filter(~F.col("base") & free).select("d", "th", "s", "e")
+
+
+def disclosing_terms(docs: DataFrame, near: DataFrame, doc_id: str, text: str, threshold: float, support: int) -> DataFrame:
     """entity, term: pairs in which the term discloses the entity."""
     n_docs = docs.count()
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
     entities = near.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
-    counts = document_counts(docs, text)
+    counts = document_terms(docs, doc_id, text).groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(entities, "entity").join(counts, "term")
     info = F.log(F.lit(float(n_docs)) / F.col("n_e"))
     mutual = F.log(F.lit(float(n_docs)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
@@ -175,8 +205,11 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reac
     """doc_id, th, base and terms (arrays of start, kind number, end) of every row."""
     keys, spans, texts = base_spans(docs, doc_id, text)
     near = materialize(context_terms(spans, texts, reach), "near")
-    terms = near.join(disclosing_terms(docs, near, text, threshold, support), ["entity", "term"]).select("d", "th", F.lit(len(KINDS)).alias("kind"), "s", "e").distinct()
-    every = spans.select("d", "th", "kind", "s", "e").unionByName(terms)
+    disclosing = materialize(disclosing_terms(docs, near, doc_id, text, threshold, support), "disclosing")
+    # What tells of the entity tells of it wherever it stands.
+    places = all_places(docs, disclosing.select("term").distinct(), doc_id, text)
+    terms = apart(near.join(disclosing, ["entity", "term"]).select("d", "th", "s", "e").unionByName(places).distinct(), spans)
+    every = spans.select("d", "th", "kind", "s", "e").unionByName(terms.withColumn("kind", F.lit(len(KINDS))))
     span = F.struct(F.col("s"), F.col("kind"), F.col("e"))
     grouped = every.groupBy(F.col("d").alias("gd"), F.col("th").alias("gh")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
     out = keys.join(grouped, F.col("d").eqNullSafe(F.col("gd")) & (F.col("th") == F.col("gh")), "left")

@@ -423,6 +423,20 @@ def test_pii_context_is_words_of_the_text(spark):
     assert got == want and any(c[0] == 0 and c[3] == "zorblax" for c in cut) and any(c[3] == "later" for c in cut)
 
 
+def test_pii_terms_are_marked_everywhere(spark):
+    filler = "some common words stand in every text of this corpus and tell nothing"
+    texts = [f"{filler} {i} Zorblax! mail zed@x.com (Quuxville) {filler} {filler} then ZORBLAX, v{i} (quuxville)-road zorblax@y.com" for i in range(4)]
+    texts += ["Only the name: zorblax.", "\u0130zorblax zorblax1 stay"] + [f"{filler} number {i}" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id, Zorblax"), (4, texts[4])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [(r.doc_id, r.text) for r in pii.sanitise(d, threshold=0.7).collect()]
+    assert len(clean) == len(rows)
+    for i, t in clean:
+        assert t == texts[i] if i is not None and i >= 5 else not re.search(r"(?i)zorblax|quuxville", t)
+    assert all(t.count("<EMAIL>") == 2 for i, t in clean if i is not None and i < 4)
+    assert Counter(clean)[4, "Only the name: ."] == 2
+
+
 # --- queries
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf, name):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, materialize
@@ -13,8 +13,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Colum
 
     ``targets`` are columns made of the labels' columns; their values together are the class. Of every
     class the ``per_class`` ids with the least hashes are taken, as long as their texts together have at
-    most ``max_chars`` characters: whole texts, and always at least one. ``train`` is a condition on
-    doc_id. Rows with a null id or target are left out; of an id that is labelled twice, the greatest
+    most the class's part of ``max_chars`` characters: whole texts. One that doesn't fit is passed over; if
+    none fits, the shortest is taken. ``train`` is a condition on doc_id. Rows with a null id or target are left out; of an id that is labelled twice, the greatest
     targets count.
     """
     names = list(targets)
@@ -31,10 +31,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Colum
     texts = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     # per_class ids at most for each class: a bound that holds at every size.
     found = materialize(texts.join(F.broadcast(picked), "doc_id"), "sample").dropDuplicates(["doc_id"])
-    upto = F.sum(F.length("text").cast("long")).over(Window.partitionBy(*names).orderBy(order, "doc_id"))
-    first = F.row_number().over(Window.partitionBy(*names).orderBy(order, "doc_id")) == 1
     share = max_chars // max(1, len(sizes))
-    kept = found.withColumn("upto", upto).withColumn("first", first).filter(F.col("first") | (F.col("upto") <= share))
+    # Only ids and lengths are gathered, of per_class texts a class.
+    one = F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
+    lists = found.groupBy(*names).agg(F.array_sort(F.collect_list(one)).alias("xs"))
+    none = F.array().cast(f"array<{found.schema['doc_id'].dataType.simpleString()}>")
+    fit = lambda a, x: F.when(a["used"] + x["n"] <= share, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
+    ids = F.aggregate("xs", F.struct(F.lit(0).cast("long").alias("used"), none.alias("ids")), fit, lambda a: a["ids"])
+    shortest = F.array_min(F.transform("xs", lambda x: F.struct(x["n"], x["o"], x["id"].alias("id"))))["id"]
+    taken = lists.select("xs", ids.alias("ids")).select(F.explode(F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(shortest))).alias("doc_id"))
+    kept = found.join(F.broadcast(taken), "doc_id", "left_semi")
     return kept.select(*names, "text").orderBy(order, "doc_id").collect(), sizes
 
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from actflow.llm import decontaminate, line_dedup, lm, near_dup, packing, pii, quality, toxicity, warc, weak_rules
+from actflow.llm import decontaminate, labelled, line_dedup, lm, near_dup, packing, pii, quality, toxicity, warc, weak_rules
 from actflow.llm.queries import ORACLES, QUERIES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -151,6 +151,21 @@ def test_near_duplicates_odd(spark):
     assert near_dup.near_duplicate_classes(odd(spark).limit(0)).count() == 0
 
 
+# --- labelled sample
+def test_sample_passes_over_long_texts(spark):
+    n = 60
+    d = docs(spark, ["short text " + str(i) for i in range(n)] + ["y" * 50, "x" * 70])
+    order = [r.doc_id for r in d.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").collect()]
+    long = order[0]  # stands before all others
+    d = d.withColumn("text", F.when(F.col("doc_id") == long, F.repeat(F.lit("z"), 5000)).otherwise(F.col("text")))
+    labels = d.select("doc_id", (F.col("doc_id") >= 0).cast("int").alias("q"))
+    take = lambda most: labelled.labelled_sample(d, labels, {"q": F.col("q")}, F.lit(True), n + 2, most)[0]
+    texts = [r.text for r in take(2000)]
+    assert len(texts) == n + 1 and "z" * 5000 not in texts
+    assert [len(r.text) for r in take(5)] == [12]  # none fits: the shortest
+    assert len(take(10**6)) == n + 2
+
+
 # --- 4 quality rules
 def brute_base(t):
     ws = WORD.findall(t or "")

@@ -6,7 +6,8 @@ t1 < t2 give P(grade >= k) = sigmoid(s - tk). The expected grade is the sum of
 these tail probabilities; documents are selected by one of them.
 
 Features, hashed: lower-cased words, the shapes of words (case, digits, signs),
-the class of each sign, and pairs of equal neighbours. A text's feature values
+the class of each sign, and pairs of equal neighbours. Of a very long word each
+run of letters, digits or signs is a word, or each few characters of it. A text's feature values
 are the roots of the features' shares, so that length alone counts for nothing.
 
 The regression is fitted on the driver on a bounded sample: ``per_class`` texts
@@ -36,7 +37,8 @@ from .labelled import class_weights, labelled_sample
 
 BITS, GRADES = 17, 3
 _RUN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_SHAPE_SIZE = 12
+#: Runs and characters of a word that is a feature as a whole, and the size of a longer run's pieces.
+_WORD_RUNS, _WORD_SIZE, _PIECE = 12, 64, 4
 #: Words a worker remembers at most.
 CACHE_WORDS = 200_000
 
@@ -44,7 +46,7 @@ CACHE_WORDS = 200_000
 def shape(word: str) -> str:
     """The word's runs of letters (by case), digits and other signs."""
     out = []
-    for run in _RUN.findall(word)[:_SHAPE_SIZE]:
+    for run in _RUN.findall(word):
         if run[0].isalpha():
             out.append("a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run.istitle() or run[0].isupper() else "aA")
         else:
@@ -52,6 +54,14 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or all its runs if it is long; long runs, as of a script without spaces, are cut."""
+    runs = _RUN.findall(word)
+    if len(runs) <= _WORD_RUNS and len(word) <= _WORD_SIZE:
+        return [word]
+    return [run[i : i + size] for run in runs for size in (_PIECE if len(run) > _WORD_SIZE else len(run),) for i in range(0, len(run), size)]
+
+
 class Features:
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, int]] = {}
@@ -70,6 +80,8 @@ class Features:
         words = text.split()
         if not words:
             return np.array([zlib.crc32(b"empty") & ((1 << BITS) - 1)]), np.ones(1)
+        if len(max(words, key=len)) > _WORD_RUNS:
+            words = [p for w in words for p in (pieces(w) if len(w) > _WORD_RUNS else (w,))]
         pairs = Counter(words)
         ids = np.array([self.of_word(w) for w in pairs], np.int64)
         n = np.array(list(pairs.values()), np.float64)

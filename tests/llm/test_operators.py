@@ -151,6 +151,20 @@ def test_near_duplicates_odd(spark):
     assert near_dup.near_duplicate_classes(odd(spark).limit(0)).count() == 0
 
 
+def test_quality_uses_the_whole_of_long_words():
+    of = lambda t: dict(zip(*(x.tolist() for x in quality.Features().of_text(t))))
+    assert quality.shape("a1" * 12 + "B-") != quality.shape("a1" * 12)
+    head = "a1" * 20
+    junk = of(head + "###" + "spam" + "9")
+    assert of("spam").keys() <= of(head + "###spam9").keys() and not of("spam").keys() <= of(head).keys()
+    assert junk != of(head + "###" + "good" + "9")
+    script = "\u6587\u5b57" * 40  # one word, no spaces
+    assert len(of(script).keys() & of(script + "\u4e2d" * 8).keys()) >= 3
+    for w in ("x", "a1" * 6, "y" * 64, "a1" * 7 + "." + "z" * 100, "_" * 70):
+        assert "".join(quality.pieces(w)) == w
+    assert quality.pieces("a1" * 6) == ["a1" * 6] and quality.pieces("y" * 64) == ["y" * 64]
+
+
 # --- labelled sample
 def test_sample_passes_over_long_texts(spark):
     n = 60

@@ -47,7 +47,8 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Trained and hashed stages are beyond SQL; the tests hold each against a brute-force version.
+#: Trained and hashed stages are beyond SQL. The tests cover the operators behind the stages; run() and the stages
+#: themselves are not tested.
 ORACLE_SQL = None
 
 

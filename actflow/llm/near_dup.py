@@ -9,15 +9,31 @@ the weight. Only ranks below a threshold that yields enough darts for all
 coordinates are looked at, so the work is one hash an element and a few hundred
 darts a document. Every dart names one of the signature's coordinates; the
 earliest dart of a coordinate is its value. Two documents agree in a coordinate
-with the probability of their weighted Jaccard similarity.
+with the probability of their weighted Jaccard similarity. Texts with few
+shingles have the first darts of each line drawn at once, so many that more are
+wanted about once in 10 ** 14 lines; longer texts draw dart by dart.
 
 Texts with equal words are one node. Bands of the signature put nodes into
-buckets. In a bucket, a few leaders are compared with the members of other
-groups, by the exact weighted Jaccard similarity of hashed shingles; links
-merge groups; leaders are added, many more in each round, until no two members of a bucket
-that stand in different groups are left uncompared. So no link that a bucket
-offers is lost, and members of one group are not compared with one another.
-Groups are then connected components.
+buckets, and the nodes of a bucket are joined as follows. All similarities are
+exact, on 64-bit hashes of shingles.
+
+1. Every node is compared with one leader: of the leaders of its buckets, the
+   one with the greatest degree. A node's degree is the size of all its buckets,
+   a bucket's leader its member of greatest degree. An original has more in
+   common with its copies than these have with one another, so it leads.
+2. Links merge groups. In buckets whose members still stand in several groups,
+   this is done once more for members outside their leader's group.
+3. What is left is settled without loss. Shingles that members of such buckets
+   have in common across groups are ordered from rare to frequent. If two sets
+   of sizes n and m are similar, they share a shingle among the first
+   n - ceil(threshold n) + 1 of the one and as many of the other, so only nodes
+   of different groups that share one of these first shingles are compared,
+   and only if enough stands behind it in both sets.
+
+Pairs are as many as nodes in the first two steps. In the third, unlike texts
+that share a passage, however many, meet only if their rarest shingles are
+shared too. Groups are connected components, contracted after every step: new
+links are joined between the groups' roots, and one root a node is kept.
 
 Nulls: a null text, like one without words, is a class of its own for each row;
 a null id sorts last. Rows that repeat an id belong to the class of their text.
@@ -41,8 +57,6 @@ from .common import col, fresh, materialize, with_fields
 
 #: Words a worker remembers at most.
 CACHE_WORDS = 300_000
-#: Leaders of a bucket from its largest group, and the first ones from its small groups.
-LARGE_LEADERS, SMALL_LEADERS = 3, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,29 +176,31 @@ def band_hashes(sig: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def with_signatures(docs: DataFrame, text: str, coordinates: int, bands: int, rows: int, size: int) -> tuple[DataFrame, str, str]:
-    """``docs`` with a key of its words (null if there are none) and its bands; their names."""
-    key, band = fresh(docs, "words_key"), fresh(docs, "bands")
+def with_signatures(docs: DataFrame, text: str, coordinates: int, bands: int, rows: int, size: int) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with a key of its words (null if there are none), the number of its shingles and its bands; their names."""
+    key, number, band = fresh(docs, "words_key"), fresh(docs, "n_shingles"), fresh(docs, "bands")
     at, n = docs.columns.index(text), len(docs.columns)
-    schema = with_fields(docs.schema, (key, T.BinaryType()), (band, T.ArrayType(T.LongType())))
+    schema = with_fields(docs.schema, (key, T.BinaryType()), (number, T.LongType()), (band, T.ArrayType(T.LongType())))
 
     places = band_coordinates(coordinates, bands, rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, found = [], []
+            keys, sizes, found = [], [], []
             for t in batch.column(at).to_pylist():
                 words = words_of(t or "")
+                elements, weights = shingles(words, hashes, size)
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                found.append(band_hashes(signature(*shingles(words, hashes, size), coordinates), places) if words else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+                sizes.append(int(weights.sum()))
+                found.append(band_hashes(signature(elements, weights, coordinates), places) if words else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.mapInArrow(sign, schema), key, band
+    return docs.mapInArrow(sign, schema), key, number, band
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """node, text -> node, elements: each shingle as 32-bit numbers, one for each time it occurs, sorted."""
+    """node, text -> node, elements: each shingle as a 64-bit number, one for each time it occurs, sorted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -195,7 +211,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 if n.max(initial=1) > 1:
                     owner = np.repeat(np.arange(len(n)), n)
                     h = mix(h[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * _B)
-                out.append(np.sort((h >> np.uint64(32)).astype("<u4")).tobytes())
+                out.append(np.sort(h.astype("<u8")).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
 
     return texts.mapInArrow(sets, "node long, elements binary")
@@ -203,9 +219,13 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
     """Of two multisets of occurrences (see ``shingle_sets``)."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0.0
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -229,24 +249,40 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return labels.select("node", "root")
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, coordinates: int = 200, bands: int = 50, rows: int = 8, size: int = 5) -> DataFrame:
+def merge_groups(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after new links (a, b): links between roots are joined, and each node keeps one root. Single nodes have no row."""
+    if groups is None:
+        return components(links)
+    a, b = (groups.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("a", "b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    raised = components(ends.filter("a <> b").distinct())
+    old = groups.join(raised.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    # Nodes that had no link before, and roots, which have a row of their own already.
+    new = raised.join(groups.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(new.select("node", "root")), "groups")
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, coordinates: int = 400, bands: int = 50, rows: int = 8, size: int = 5) -> DataFrame:
     """doc_id, class_id, text_hash, kept of every row: class_id is the least doc_id of its class, kept marks one document of each class."""
     narrow = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    signed, key, band = with_signatures(narrow, "text", coordinates, bands, rows, size)
-    signed = materialize(signed.select("doc_id", text_hash("text").alias("text_hash"), F.col(key).alias("key"), F.col(band).alias("bands")), "signatures")
+    signed, key, number, band = with_signatures(narrow, "text", coordinates, bands, rows, size)
+    signed = materialize(signed.select("doc_id", text_hash("text").alias("text_hash"), F.col(key).alias("key"), F.col(number).alias("n"), F.col(band).alias("bands")), "signatures")
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    nodes = signed.filter("key is not null").groupBy("key").agg(F.min(name).alias("least"), F.first("bands").alias("bands"))
+    nodes = signed.filter("key is not null").groupBy("key").agg(F.min(name).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(entries.join(shared, "bucket"), "buckets")
-    groups = _groups(members, _sets(narrow, nodes, members, size), threshold).select(F.col("node").alias("member"), "root")
-
-    named = nodes.select("key", "node", "least").join(groups, F.col("node") == F.col("member"), "left").select("key", "least", F.coalesce("root", "node").alias("root"))
+    groups = _groups(members, _sets(narrow, nodes, members, size), threshold)
+    named = nodes.select("key", "node", "least")
+    if groups is None:
+        named = named.withColumn("root", F.col("node"))
+    else:
+        named = named.join(groups.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least").alias("first"))
     by_key = named.join(classes, "root").select("key", "first")
     alone = F.col("key").isNull()
-    return signed.drop("bands").join(by_key, "key", "left").select(
+    return signed.drop("bands", "n").join(by_key, "key", "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id"),
         "text_hash",
@@ -259,128 +295,116 @@ def text_hash(text: str) -> Column:
 
 
 def _sets(narrow: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """node, elements, n of the nodes that share a bucket."""
-    keyed, key = _with_key(narrow)
-    wanted = nodes.select("node", F.col("key").alias("wanted")).join(members.select("node").distinct(), "node", "left_semi")
-    found = keyed.join(wanted, keyed[key] == F.col("wanted")).groupBy("node").agg(F.first("text").alias("text"))
-    return materialize(shingle_sets(found, size).withColumn("n", F.octet_length("elements")), "shingles")
+    """node, elements of the nodes that share a bucket. A node's text is that of its least row, found by id and hash."""
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least.id").alias("id"), F.col("least.h").alias("h"))
+    texts = narrow.withColumn("text_hash", text_hash("text"))
+    found = texts.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.first("text").alias("text"))
+    return materialize(shingle_sets(found, size), "shingles")
 
 
-def _groups(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, root: components of the similar pairs among the members (bucket, node) of a bucket."""
+def _groups(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """node, root: components of the similar pairs among the members (bucket, node, n, size) of a bucket; None if there are none."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([weighted_jaccard(x, y) >= threshold - 1e-9 for x, y in zip(a, b)], dtype="bool")
 
-    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"{k}_set"), F.col("n").alias(f"{k}_n")) for k in ("a", "b"))
+    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"{k}_set")) for k in ("a", "b"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs (a < b) that are similar. A pair of very different sizes can't be."""
-        sized = pairs.join(left, "a").join(right, "b").filter(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-6)
-        return sized.filter(similar("a_set", "b_set")).select("a", "b")
-
-    # First one leader a bucket: its least member, which tends to lead in several buckets.
-    first = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = materialize(members.join(first, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    compared, edges = pairs, materialize(links(pairs), "links")
-    groups = components(edges)
-    # What is left: buckets whose members stand in several groups. Their roles are settled here, once: the
-    # members of the largest group, and all others (small). Every small member leads in the end.
-    small = materialize(_roles(_mixed(members, groups)), "roles")
-    most = small.agg(F.max("n_small")).first()[0]
-    if most is None:
+        """The pairs that are similar."""
+        return materialize(pairs.join(right, "b").join(left, "a").filter(similar("a_set", "b_set")).select("a", "b"), "links")
+
+    weight = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    # Equal degrees are told apart by a hash, so that one number orders the nodes.
+    weighed = materialize(members.join(weight, "node").select("bucket", "node", "n", (F.col("degree") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("weight")), "members")
+    groups, compared = None, None
+    for _ in range(2):
+        known = weighed.withColumn("root", F.col("node")) if groups is None else _mixed(weighed, groups)
+        if groups is not None:
+            known = materialize(known, "mixed")
+        pairs = materialize(_leader_pairs(known, threshold, compared), "pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        new = links(pairs)
+        if new.isEmpty():
+            if groups is None:
+                groups = members.sparkSession.createDataFrame([], "node long, root long")
+            break
+        groups = merge_groups(groups, new)
+    rest = materialize(_mixed(weighed, groups).select("node", "root", "n").distinct(), "rest")
+    if rest.isEmpty():
         return groups
-    lists = small.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
-    small = small.join(lists, "node")
-    small = materialize(small.join(_own_shingles(sets.join(small.select("node").distinct(), "node", "left_semi")), "node"), "roles")
-    low, high, from_largest = 0, LARGE_LEADERS, True
-    while True:
-        now = _mixed(small, groups)
-        pairs = materialize(_cross_pairs(now, from_largest, low, high, threshold).join(compared, ["a", "b"], "left_anti"), "pairs")
-        new = materialize(links(pairs), "links")
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            groups = components(edges)
-        if not from_largest and high > most:
-            return groups
-        compared = compared.unionByName(pairs)
-        low, high, from_largest = (0, SMALL_LEADERS, False) if from_largest else (high, high * 16, False)
+    pairs = materialize(_prefix_pairs(rest, sets, threshold).join(compared, ["a", "b"], "left_anti"), "pairs")
+    new = links(pairs)
+    return groups if new.isEmpty() else merge_groups(groups, new)
 
 
 def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The members of buckets with several groups, with their roots."""
-    known = members.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
     return known.join(mixed, "bucket")
 
 
-def _roles(active: DataFrame) -> DataFrame:
-    """bucket, node, in_largest, n_small, place: whether a member is in its bucket's largest group; how many aren't; a hashed place among its like."""
-    sizes = active.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_large"), (F.sum("n") - F.max("n")).alias("n_small"))
-    inside = F.col("root") == F.col("largest")
-    share = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) / (1 << 20)
-    return active.join(largest, "bucket").select("bucket", "node", inside.alias("in_largest"), "n_small", (share * F.when(inside, F.col("n_large")).otherwise(F.col("n_small"))).alias("place"))
+def _similar_sizes(n: Column, m: Column, threshold: float) -> Column:
+    return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """node, n, shared: how many shingles a node has, and how many of them any other of these nodes has too."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.frombuffer(e, "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node, np.int64))], names=["h", "node"])
-
-    rows = sets.select("node", "elements").mapInArrow(each, "h long, node long")
-    alone = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("alone"))
-    n = (F.col("n") / 4).cast("long")
-    return sets.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("shared"))
+def _leader_pairs(members: DataFrame, threshold: float, compared: DataFrame | None) -> DataFrame:
+    """a < b: each member with one of its buckets' leaders, that of greatest weight, if that one is of another group and wasn't met before."""
+    top = lambda c: F.max_by(c, "weight")
+    leaders = members.groupBy("bucket").agg(top("node").alias("leader"), top("root").alias("leader_root"), top("n").alias("leader_n"), F.max("weight").alias("leader_weight"))
+    met = members.join(leaders, "bucket").filter((F.col("root") != F.col("leader_root")) & _similar_sizes(F.col("n"), F.col("leader_n"), threshold))
+    met = met.select("node", "leader", "leader_weight", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    if compared is not None:
+        met = met.join(compared, ["a", "b"], "left_anti")
+    best = met.groupBy("node").agg(F.max_by("leader", "leader_weight").alias("leader"))
+    return best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, from_largest: bool, low: int, high: int, threshold: float) -> DataFrame:
-    """Pairs of leaders, the members with places from ``low`` to ``high``, with members of other groups in their bucket.
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a < b: nodes of different groups that share one of their rarest shingles (see the module's text)."""
 
-    Leaders of the largest group meet the small members only. Small leaders meet all; when every small member
-    has led, all members in different groups have met. Pairs that can't be similar are left out: what two
-    nodes have in common is no more than either shares with anyone.
-    """
-    role = F.col("in_largest") if from_largest else ~F.col("in_largest")
-    led = members.filter(role & (F.col("place") >= low) & (F.col("place") < high)).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "shared", "buckets")))
-    others = members.filter(~F.col("in_largest")) if from_largest else members
-    both = F.least("shared", "x_shared")
-    apart = (F.col("root") != F.col("x_root")) & (both >= threshold * (F.col("n") + F.col("x_n") - both) - 1e-6)
-    # Two members may share many buckets. Small leaders meet others in the least one, where, since they stand
-    # in different groups, not both are of the largest. Leaders of the largest group meet them in all.
-    here = F.lit(True) if from_largest else F.array_min(F.array_intersect("buckets", "x_buckets")) == F.col("bucket")
-    met = others.join(led, "bucket").filter(apart & here)
-    return met.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
-
-
-def _with_key(narrow: DataFrame) -> tuple[DataFrame, str]:
-    """The key of ``with_signatures``, without signatures."""
-    key = fresh(narrow, "words_key")
-    at, n = narrow.columns.index("text"), len(narrow.columns)
-    schema = with_fields(narrow.schema, (key, T.BinaryType()))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if (w := words_of(t or "")) else None for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(out, pa.binary())], names=schema.names)
-
-    return narrow.mapInArrow(keys, schema), key
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [np.frombuffer(e, "<i8") for e in part.column(1).to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(part.column(i).take(owner) for i in (0, 2, 3))], names=["h", "node", "root", "n"])
+
+    rows = materialize(sets.join(rest, "node").select("node", "elements", "root", "n").mapInArrow(each, "h long, node long, root long, n int"), "occurrences")
+    # A shingle of one group only can't be shared across groups: it stands before all others and needs no row.
+    across = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h", "c")
+    known = rows.join(across, "h").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("common"))
+    # Places in the order: shingles shared with nobody stand first. The small number keeps exact products whole.
+    alone = F.col("n") - F.size("common")
+    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1 - alone
+    heads = known.filter(first > 0).select("node", "root", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), first.cast("int"))["h"]).alias("i", "h"))
+    heads = materialize(heads.select("h", "node", "root", "n", (F.col("alone") + F.col("i") + 1).alias("place")), "first")
+    # Of two nodes in different groups one at least is outside the largest group that has the shingle.
+    largest = heads.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("largest"))
+    outside = heads.join(largest, "h").filter(F.col("root") != F.col("largest")).select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "place")))
+    # If this is the first shingle that two sets share, they have it and what stands behind it in both in common at most.
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"))
+    enough = most >= threshold / (1 + threshold) * (F.col("n") + F.col("x_n")) - 1e-6
+    met = heads.join(outside, "h").filter((F.col("root") != F.col("x_root")) & enough)
+    return met.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, that with the least id, with the columns it had.
 
-    Rows that repeat an id and a text are one document, of which one row stays.
+    Rows that repeat an id and a text are one document, of which one row stays: that with the least hash of all its columns.
     """
-    kept = materialize(near_duplicate_classes(docs, doc_id, text, **options).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")), "kept")
-    h = fresh(docs, "text_hash")
+    i, k, h = fresh(docs, "keep_id"), fresh(docs, "keep_hash"), fresh(docs, "text_hash")
+    kept = materialize(near_duplicate_classes(docs, doc_id, text, **options).filter("kept").select(F.col("doc_id").alias(i), F.col("text_hash").alias(k)), "kept")
     out = docs.withColumn(h, text_hash(text))
-    out = out.join(kept.distinct(), col(doc_id).eqNullSafe(F.col("keep_id")) & (F.col(h) == F.col("keep_hash")), "left_semi")
-    if not kept.groupBy("keep_id", "keep_hash").count().filter("count > 1").isEmpty():
+    out = out.join(kept.distinct(), col(doc_id).eqNullSafe(F.col(i)) & F.col(h).eqNullSafe(F.col(k)), "left_semi")
+    if not kept.groupBy(i, k).count().filter("count > 1").isEmpty():
+        row, low = fresh(out, "row_hash"), fresh(out, "least_hash")
+        out = out.withColumn(row, F.xxhash64(F.to_json(F.struct(*map(col, docs.columns)))))
+        least = out.groupBy(col(doc_id).alias(i), F.col(h).alias(k)).agg(F.min(row).alias(low))
+        out = out.join(least, col(doc_id).eqNullSafe(F.col(i)) & F.col(h).eqNullSafe(F.col(k)) & (F.col(row) == F.col(low)), "left_semi")
         out = out.dropDuplicates([doc_id, h])
     return out.select(*map(col, docs.columns))

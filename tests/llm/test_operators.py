@@ -151,6 +151,55 @@ def test_near_duplicates_odd(spark):
     assert near_dup.near_duplicate_classes(odd(spark).limit(0)).count() == 0
 
 
+def counted_pairs(monkeypatch):
+    """Rows of every table of pairs that are compared."""
+    seen, write = [], near_dup.materialize
+
+    def watch(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", watch)
+    return seen
+
+
+def test_unlike_members_of_a_bucket_are_not_paired(spark, monkeypatch):
+    seen, n = counted_pairs(monkeypatch), 2000
+    common = " ".join(f"c{i}" for i in range(80))
+    texts = [f"{common} " + " ".join(f"u{k}_{i}" for i in range(20)) for k in range(n)]  # similarity 0.66: most meet in a bucket
+    texts += [t + " more" for t in texts[:20]]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs(spark, texts)).collect()}
+    assert got == {i: i - n if i >= n else i for i in range(n + 20)}
+    assert n / 2 < sum(seen) < 4 * n
+
+
+def test_edits_of_one_text_are_linked_exactly(spark, monkeypatch):
+    seen, rng = counted_pairs(monkeypatch), np.random.default_rng(4)
+    base, few = [f"w{i}" for i in range(60)], [f"x{i}" for i in range(6)]
+    texts = {tuple(base)}
+    while len(texts) < 500:  # one to four edits: copies of copies are similar, others are near the threshold or below
+        t = list(base)
+        for at in rng.choice(60, rng.integers(1, 5), replace=False):
+            t[at] = few[rng.integers(6)]
+        texts.add(tuple(t))
+    texts = [" ".join(t) for t in sorted(texts)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs(spark, texts)).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+    assert sum(seen) < 10 * len(texts)
+
+
+def test_near_duplicates_clashing_names_and_repeats(spark):
+    names = ["keep_id", "keep_hash", "text_hash", "words_key", "bands", "n_shingles", "node", "row_hash", "least_hash", "a", "b", "class_id"]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words stand here now"), (2, "A b c  d e f"), (None, "a b c d e f"), (None, None), (None, None), (3, None)]
+    d = spark.createDataFrame([(i, t, *([k] * len(names))) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{x} int" for x in names))
+    first = near_dup.drop_near_duplicates(d).collect()
+    assert near_dup.drop_near_duplicates(d.repartition(5)).columns == d.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in first) == sorted([("1", rows[0][1]), ("1", rows[2][1]), ("None", "None"), ("3", "None")])
+    assert sorted(map(str, near_dup.drop_near_duplicates(d.orderBy(F.desc("a"))).collect())) == sorted(map(str, first))
+
+
 def test_quality_uses_the_whole_of_long_words():
     of = lambda t: dict(zip(*(x.tolist() for x in quality.Features().of_text(t))))
     assert quality.shape("a1" * 12 + "B-") != quality.shape("a1" * 12)

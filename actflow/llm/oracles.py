@@ -33,32 +33,44 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN places p USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
-# Votes of the six rules from the counts, patterns of votes, 40 rounds of expectation-maximisation over them, posteriors.
+# Votes of the rules from the counts, patterns of votes, 40 rounds of expectation-maximisation over them, posteriors.
+_VOTED = (
+    ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("2 * n_signs > n_words", "10 * n_signs <= 3 * n_words"),
+    ("100 * n_letters < 75 * word_chars", "10 * n_letters >= 9 * word_chars"),
+    ("5 * n_tails > n_words", "50 * n_tails <= n_words"),
+    ("10 * n_upper > 4 * n_letters", "10 * n_upper <= 2 * n_letters"),
+    ("100 * n_ends < n_words", "40 * n_ends >= n_words"),
+    ("10 * n_small < n_words", "5 * n_small >= n_words"),
+    ("3 * n_repeat_words > n_words", "10 * n_repeat_words <= n_words"),
+    ("10 * n_echo > n_words", "20 * n_echo <= n_words"),
+    ("10 * n_distinct < n_words", "10 * n_distinct >= 4 * n_words"),
+)
+_RULES = f"range(1, {len(_VOTED) + 1})"
 _RATIO = "CASE {v} WHEN 1 THEN ln({s} / (1 - {p})) WHEN 0 THEN ln((1 - {s}) / {p}) ELSE 0 END"
-_LOGIT = "ln(e.prior / (1 - e.prior)) + list_sum(list_transform(range(1, 7), lambda r: " + _RATIO.format(v="{votes}[r]", s="e.sound[r]", p="e.poor[r]") + "))"
-_SHARE = "1 / (1 + exp(-(" + _LOGIT.format(votes="p.v") + ")))"
+_LOGIT = f"ln(e.prior / (1 - e.prior)) + list_sum(list_transform({_RULES}, lambda r: " + _RATIO.format(v="{votes}[r]", s="e.sound[r]", p="e.poor[r]") + "))"
+_SHARE = "CASE WHEN p.failed THEN 0 ELSE 1 / (1 + exp(-(" + _LOGIT.format(votes="p.v") + "))) END"
+_MAJORITY = "CASE WHEN p.failed THEN 0 ELSE len(list_filter(p.v, lambda x: x = 1)) / len(list_filter(p.v, lambda x: x >= 0)) END"
 
 
-def _rate(key: str, vote: int, belief: float, strength: float) -> str:
-    total = lambda test: f"coalesce(list_sum(list_transform(q, lambda x: CASE WHEN x.v[r] {test} THEN x.{key} ELSE 0 END)), 0) + n_docs * {strength}"
-    return f"list_transform(range(1, 7), lambda r: ({total(f'= {vote}')} * {belief}) / ({total('>= 0')}))"
+def _split(share: str) -> str:
+    return f"list_transform(ps, lambda p: {{'v': p.v, 's': p.n * ({share}), 'p': p.n * (1 - ({share}))}})"
 
 
-def _vote(poor: str, sound: str) -> str:
-    return f"CASE WHEN n_words = 0 THEN -1 WHEN {poor} THEN 0 WHEN {sound} THEN 1 ELSE -1 END"
+def _rate(key: str, vote: int, belief: float) -> str:
+    total = lambda test: f"coalesce(list_sum(list_transform(q, lambda x: CASE WHEN x.v[r] {test} THEN x.{key} ELSE 0 END)), 0)"
+    return f"({total(f'= {vote}')} + 2 * {belief}) / ({total('>= 0')} + 2)"
 
 
-_VOTES = ", ".join(
-    _vote(*x)
-    for x in (
-        ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-        ("10 * n_upper > 4 * n_letters", "10 * n_upper <= 2 * n_letters"),
-        ("2 * n_letters < word_chars", "10 * n_letters >= 9 * word_chars"),
-        ("3 * n_repeat_words > n_words", "10 * n_repeat_words <= n_words"),
-        ("10 * n_dup_lines > 6 * n_lines", "n_dup_lines = 0"),
-        ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
-    )
-)
+def _step(source: str) -> str:
+    """A row i, prior, sound, poor from a row i, q."""
+    sums = "coalesce(list_sum(list_transform(q, lambda x: x.{})), 0)".format
+    poor = f"list_transform({_RULES}, lambda r: greatest({_rate('p', 0, 0.5)}, 1 - ({_rate('s', 1, 0.9)})))"
+    return f"SELECT i, ({sums('s')} + 1) / ({sums('s')} + {sums('p')} + 2) AS prior, list_transform({_RULES}, lambda r: {_rate('s', 1, 0.9)}) AS sound, {poor} AS poor FROM ({source})"
+
+
+_VOTES = ", ".join(f"CASE WHEN n_words < 50 THEN -1 WHEN {poor} THEN 0 WHEN {sound} THEN 1 ELSE -1 END" for poor, sound in _VOTED)
+_HAS = r"len(list_filter(w, lambda x: regexp_matches(x, '{}')))::BIGINT".format
 QUALITY_RULES = rf"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -66,17 +78,16 @@ wins AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS win FROM (SELECT doc_id, w
 twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM wins JOIN twice USING (doc_id, win)) GROUP BY doc_id),
 base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters,
-  coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated USING (doc_id)),
-voted AS (SELECT *, [{_VOTES}] AS v FROM base),
-patterns AS (SELECT list({{'v': v, 'n': n}}) AS ps, sum(n) AS n_docs FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)),
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters,
+  length(regexp_replace(t, '[\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g')) AS n_signs, {_HAS(r"[^\p{L}\p{N}]{2}$")} AS n_tails, {_HAS(r"\p{L}[.!?]$")} AS n_ends, {_HAS(r"^\p{L}{1,3}$")} AS n_small,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echo, len(list_distinct(w)) AS n_distinct, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated USING (doc_id)),
+voted AS (SELECT *, [{_VOTES}] AS v, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+patterns AS (SELECT coalesce(list({{'v': v, 'failed': base_failed, 'n': n}}), []) AS ps FROM (SELECT v, base_failed, count(*)::DOUBLE AS n FROM voted WHERE n_words >= 50 GROUP BY v, base_failed) WHERE list_max(v) >= 0),
 em AS (
-  SELECT 0 AS i, 0.8::DOUBLE AS prior, [{", ".join(["0.998::DOUBLE"] * 6)}] AS sound, [{", ".join(["0.4::DOUBLE"] * 6)}] AS poor
+  {_step("SELECT 0 AS i, " + _split(_MAJORITY) + " AS q FROM patterns")}
   UNION ALL
-  SELECT i + 1, (list_sum(list_transform(q, lambda x: x.s)) + 0.8) / (n_docs + 1), {_rate("s", 1, 0.998, 20)}, {_rate("p", 0, 0.4, 0.1)}
-  FROM (SELECT e.i, n_docs, list_transform(ps, lambda p: {{'v': p.v, 's': p.n * ({_SHARE}), 'p': p.n * (1 - {_SHARE})}}) AS q FROM em e, patterns WHERE e.i < 40))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({_LOGIT.format(votes="voted.v")}))) >= 0.5 AS kept
+  {_step("SELECT e.i + 1 AS i, " + _split(_SHARE) + " AS q FROM em e, patterns WHERE e.i < 40")})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 1 / (1 + exp(-({_LOGIT.format(votes="voted.v")}))) >= 0.5 AS kept
 FROM voted, em e WHERE e.i = 40
 """
 

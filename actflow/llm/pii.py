@@ -5,19 +5,28 @@ and checked (parts of addresses, check digits, numbers of digits). A failing
 match is dropped without another try.
 
 Information-theoretic sanitisation adds spans. The entity protected is the value
-of a base span. A term near an entity (one of ``reach`` words of the text on
-either side of its mention, other matches included) may disclose it: with N documents, n(e) that hold the entity, n(t)
-that hold the term and n(e, t) that hold the term near the entity, the pointwise
-mutual information log(N n(e, t) / (n(e) n(t))) is how much the term tells of
-the entity, out of the entity's own information log(N / n(e)). Terms whose share
-reaches ``threshold``, and that were seen near the entity in ``support``
-different texts, are spans of kind "term" wherever they stand, in all documents,
-unless they are part of a base span. An entity seen in fewer texts has no terms:
-one or two sightings don't tell a disclosing word from a chance neighbour.
-``sanitise`` generalises base spans to their kind and removes such terms.
-
-Counts cover all documents. Terms are lower-cased words without outer
-punctuation, of letters only, and are counted by 64-bit hashes.
+of a base span, a term a run of letters and digits, lower-cased. A term in one
+of the ``reach`` words of the text on either side of a mention (other matches
+included) may disclose the entity: with N documents, n(e) that hold the entity,
+n(t) that hold the term and n(e, t) that hold the term near the entity, the
+pointwise mutual information log(N n(e, t) / (n(e) n(t))) is how much the term
+tells of the entity, out of the entity's own information log(N / n(e)).
+
+A term discloses the entity if that share reaches ``threshold``, and if they
+meet more often than by chance: by Chernoff's bound, the chance that so many
+different texts (k) have them together, where n(e) n(t) / N are expected, is
+exp(-(k log(k / expected) - k + expected)) at most, which, times the number of
+pairs that are tested, must not exceed ``alpha``. So a single sighting tells
+nothing in a large corpus, and two or three do. ``support`` is a least number of
+different texts besides; copies of a text are one sighting.
+
+Disclosing terms are spans of kind "term" wherever they stand, in all documents,
+unless they are part of a base span. ``sanitise`` generalises base spans to
+their kind and removes such terms.
+
+Counts cover all documents and whole texts, repeated rows included. Terms are
+counted by 64-bit hashes. Of a run that a span is a part of, what stands outside
+the span is a term near it.
 
 Nulls: a null text is empty, a null id is kept. Rows that repeat an id and a
 text have the same spans. Extra columns are ignored by ``find_spans`` and kept
@@ -29,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, materialize
+from .common import WORD, col, fresh, materialize
 
 #: Kinds in order. Patterns: where a class of characters runs on, a match that fails from the start of a
 #: run fails from inside it too, so that a search starts at run starts or where the last match ended, and
@@ -43,9 +52,7 @@ PATTERNS = {
 #: Cheap tests that any text with a match passes.
 HINTS = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
-TERM = r"^\p{L}{3,}$"
-#: A term anywhere in a text.
-RUN = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"
+TERM = r"[\p{L}\p{N}]+"
 
 
 def _digits(m: Column) -> Column:
@@ -107,8 +114,8 @@ def _matches(text: str) -> Column:
 
 
 def base_spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keys of all rows (d, th); the valid matches of each key: row (a number of the key), d, th, kind, s, e, m,
-    and how many words begin before s (before) and before e and don't go on behind it (after); texts that have any: row, t.
+    """Keys of all rows (d, th); the valid matches of each key: row (a number of the key), d, th, copies (how many rows the key has),
+    kind, s, e, m, and how many words begin before s (before) and before e and don't go on behind it (after); texts that have any: row, t.
     """
     t = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(col(doc_id).alias("d"), t.alias("t"))
@@ -116,51 +123,49 @@ def base_spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     matched = rows.select("d", F.xxhash64("t").alias("th"), "t", _matches("t").alias("found"))
     any_valid = F.exists("found", lambda x: valid(kind(x["kind"]), x["m"]))
     found = materialize(matched.select("d", "th", F.when(any_valid, F.col("t")).alias("t"), "found"), "matches")
-    one = found.filter("t is not null").groupBy("d", "th").agg(F.first("found").alias("found"), F.first("t").alias("t"))
+    one = found.filter("t is not null").groupBy("d", "th").agg(F.first("found").alias("found"), F.first("t").alias("t"), F.count("*").alias("copies"))
     one = materialize(one.withColumn("row", F.monotonically_increasing_id()), "rows")
-    each = one.select("row", "d", "th", F.inline("found"))
+    each = one.select("row", "d", "th", "copies", F.inline("found"))
     n, order = F.length("m"), Window.partitionBy("row", "kind").orderBy("i")
     begun = F.sum(F.col("in_gap") + F.col("in_match")).over(order)
     # Behind a match with no gap stands the next one, if any.
     going_on = F.col("open") | F.coalesce(F.lead("gap").over(order) == 0, F.lit(False))
     placed = each.select(
-        "row", "d", "th", "kind", "m", F.sum(F.col("gap") + n).over(order).cast("long").alias("e"), (begun - F.col("in_match")).alias("before"), (begun - going_on.cast("int")).alias("after")
+        "row", "d", "th", "copies", "kind", "m", F.sum(F.col("gap") + n).over(order).cast("long").alias("e"), (begun - F.col("in_match")).alias("before"), (begun - going_on.cast("int")).alias("after")
     ).withColumn("s", F.col("e") - n)
     return found.select("d", "th"), materialize(placed.filter(valid(kind(F.col("kind")), F.col("m"))), "spans"), one.select("row", "t")
 
 
-def _term(word: Column) -> Column:
-    """The term of a word and how many characters stand before it; null if it is none."""
-    core = F.regexp_extract(word, r"^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}]*$", 1)
-    return F.when(core.rlike(TERM), F.lower(core))
+def _entity() -> Column:
+    return F.xxhash64("kind", F.lower("m"))
+
+
+def _terms(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
 
 def context_terms(spans: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
-    """Terms within ``reach`` words of a span: row, d, th, entity, term (hash), s, e."""
+    """Terms within ``reach`` words of a span: row, th, copies, entity, term (hash), once for each row."""
     # Words with the spaces that come before: their lengths add up to places.
     pieces = texts.select("row", F.posexplode(F.regexp_extract_all("t", F.lit(rf"[\x20\x09-\x0D]*({WORD})"), F.lit(0))).alias("i", "w"))
     end = F.sum(F.length("w")).over(Window.partitionBy("row").orderBy("i"))
     words = pieces.select("row", "i", end.alias("end"), F.ltrim(F.translate("w", "\t\n\x0b\x0c\r", "     ")).alias("w"))
-    entity = F.xxhash64("kind", F.lower("m"))
     k = F.explode(F.sequence(F.lit(0), F.lit(reach)))
-    steps = spans.select("row", "d", "th", entity.alias("entity"), F.col("s").alias("from"), F.col("e").alias("to"), "before", "after", k.alias("k")).filter("k > 0")
+    steps = spans.select("row", "th", "copies", _entity().alias("entity"), F.col("s").alias("from"), F.col("e").alias("to"), "before", "after", k.alias("k")).filter("k > 0")
     side = lambda i, left: F.struct(i.cast("int").alias("i"), F.lit(left).alias("left"))
     sides = F.array(side(F.col("before") - F.col("k"), True), side(F.col("after") + F.col("k") - 1, False))
-    wanted = steps.select("row", "d", "th", "entity", "from", "to", F.inline(sides)).filter("i >= 0")
+    wanted = steps.select("row", "th", "copies", "entity", "from", "to", F.inline(sides)).filter("i >= 0")
     # A word that the span is a part of counts with its part before or behind the span.
     at = F.col("end") - F.length("w")
-    near = wanted.join(words, ["row", "i"]).withColumn("at", F.when(F.col("left"), at).otherwise(F.greatest(at, "to")))
-    cut = F.when(F.col("left"), F.substring("w", F.lit(1), (F.least("end", "from") - at).cast("int"))).otherwise(F.substring("w", (F.col("at") - at + 1).cast("int"), F.length("w")))
-    terms = near.withColumn("w", cut).withColumn("core", _term(F.col("w"))).filter("core is not null")
-    start = F.col("at") + F.length(F.regexp_extract("w", r"^[^\p{L}\p{N}]*", 0))
-    return terms.select("row", "d", "th", "entity", F.xxhash64("core").alias("term"), start.cast("long").alias("s"), (start + F.length("core")).cast("long").alias("e"))
+    cut = F.when(F.col("left"), F.substring("w", F.lit(1), (F.least("end", "from") - at).cast("int"))).otherwise(F.substring("w", (F.greatest(at, "to") - at + 1).cast("int"), F.length("w")))
+    return wanted.join(words, ["row", "i"]).select("row", "th", "copies", "entity", F.explode(_terms(cut)).alias("term")).distinct()
 
 
 def document_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """d, th, term (hash): the distinct terms of every row."""
     t = F.coalesce(col(text).cast("string"), F.lit(""))
-    hashes = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
-    return docs.select(col(doc_id).alias("d"), F.xxhash64(t).alias("th"), F.explode(hashes).alias("term"))
+    return docs.select(col(doc_id).alias("d"), F.xxhash64(t).alias("th"), F.explode(_terms(t)).alias("term"))
 
 
 def all_places(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -171,7 +176,7 @@ def all_places(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> Dat
     held = rows.join(holding, F.col("d").eqNullSafe(F.col("hd")) & (F.col("th") == F.col("hh")), "left_semi")
     # Rows that repeat an id and a text are one.
     once = materialize(held.groupBy("d", "th").agg(F.first("t").alias("t")).withColumn("row", F.monotonically_increasing_id()), "holding")
-    words, gaps = F.regexp_extract_all("t", F.lit(RUN), F.lit(0)), F.split("t", RUN, -1)
+    words, gaps = F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.split("t", TERM, -1)
     piece = lambda w, gap: F.struct(F.xxhash64(F.lower(w)).alias("term"), F.length(w).alias("n"), F.length(gap).alias("gap"))
     each = once.select("row", "d", "th", words.alias("w"), gaps.alias("g")).select("row", "d", "th", F.zip_with("w", F.slice("g", F.lit(1), F.size("w")), piece).alias("p"))
     each = each.select("row", "d", "th", F.posexplode("p").alias("i", "p")).select("row", "d", "th", "i", "p.*")
@@ -189,26 +194,32 @@ def apart(terms: DataFrame, spans: DataFrame) -> DataFrame:
     return every.withColumn("before", before).withColumn("behind", behind).filter(~F.col("base") & free).select("d", "th", "s", "e")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, doc_id: str, text: str, threshold: float, support: int) -> DataFrame:
-    """entity, term: pairs in which the term discloses the entity."""
-    n_docs = docs.count()
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
-    entities = near.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
-    counts = document_terms(docs, doc_id, text).groupBy("term").agg(F.count("*").alias("n_t"))
-    joined = pairs.join(entities, "entity").join(counts, "term")
-    info = F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    mutual = F.log(F.lit(float(n_docs)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return joined.filter((info > 0) & (mutual >= threshold * info)).select("entity", "term")
-
-
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 8, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """doc_id, th, base and terms (arrays of start, kind number, end) of every row."""
+def disclosing_terms(docs: DataFrame, spans: DataFrame, near: DataFrame, doc_id: str, text: str, threshold: float, support: int, alpha: float) -> DataFrame:
+    """entity, term, n_docs, n_e, n_t, n_et, texts: pairs in which the term discloses the entity."""
+    by_text = near.groupBy("entity", "term", "th").agg(F.sum("copies").alias("n"))
+    pairs = materialize(by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")), "pairs")
+    n_docs, tested = float(docs.count()), float(max(1, pairs.count()))
+    holders = spans.select("row", "copies", _entity().alias("entity")).distinct()
+    entities = holders.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    counts = document_terms(docs, doc_id, text).groupBy("term").agg(F.count("*").alias("n"))
+    joined = pairs.filter(F.col("texts") >= support).join(entities, "entity").join(counts, "term").withColumn("n_docs", F.lit(n_docs))
+    # A term that only stands glued to spans has no count of its own there.
+    known = joined.withColumn("n_t", F.greatest("n", "n_et"))
+    info = F.log(F.col("n_docs") / F.col("n_e"))
+    mutual = F.log(F.col("n_docs") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    k, expected = F.col("texts"), F.col("n_e") * F.col("n_t") / F.col("n_docs")
+    chance = F.when(k > expected, k - expected - k * F.log(k / expected)).otherwise(0.0) + F.log(F.lit(tested))
+    found = known.filter((info > 0) & (mutual >= threshold * info) & (chance <= F.log(F.lit(alpha))))
+    return found.select("entity", "term", "n_docs", "n_e", "n_t", "n_et", "texts")
+
+
+def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 8, threshold: float = 0.9, support: int = 1, alpha: float = 0.05) -> DataFrame:
+    """doc_id, th, spans (array of start, kind number, end) of every row."""
     keys, spans, texts = base_spans(docs, doc_id, text)
     near = materialize(context_terms(spans, texts, reach), "near")
-    disclosing = materialize(disclosing_terms(docs, near, doc_id, text, threshold, support), "disclosing")
+    disclosing = materialize(disclosing_terms(docs, spans, near, doc_id, text, threshold, support, alpha), "disclosing")
     # What tells of the entity tells of it wherever it stands.
-    places = all_places(docs, disclosing.select("term").distinct(), doc_id, text)
-    terms = apart(near.join(disclosing, ["entity", "term"]).select("d", "th", "s", "e").unionByName(places).distinct(), spans)
+    terms = apart(all_places(docs, disclosing.select("term").distinct(), doc_id, text), spans)
     every = spans.select("d", "th", "kind", "s", "e").unionByName(terms.withColumn("kind", F.lit(len(KINDS))))
     span = F.struct(F.col("s"), F.col("kind"), F.col("e"))
     grouped = every.groupBy(F.col("d").alias("gd"), F.col("th").alias("gh")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
@@ -218,22 +229,24 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reac
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans as text."""
+    """doc_id, counts of base spans, their digest, all spans as text, and how many they are."""
     names = F.array(*map(F.lit, (*KINDS, "term")))
     label = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"] < len(KINDS))
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, F.lit(k)))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     digest = F.sha2(F.array_join(F.transform(base, label), ",").cast("binary"), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.array_join(F.transform("spans", label), ",").alias("spans"))
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.array_join(F.transform("spans", label), ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with base spans replaced by <KIND> and disclosing terms removed from the text. Of overlapping spans the first counts."""
-    found = find_spans(docs, doc_id, text, **options).select(F.col("doc_id").alias("_af_d"), F.col("th").alias("_af_h"), F.col("spans").alias("_af_spans")).filter(F.size("_af_spans") > 0).distinct()
+    d, h, spans = fresh(docs, "span_doc"), fresh(docs, "span_hash"), fresh(docs, "spans")
+    found = find_spans(docs, doc_id, text, **options).select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("spans").alias(spans)).filter(F.size(spans) > 0).distinct()
     t = col(text).cast("string")
-    out = docs.withColumn("_af_th", F.xxhash64(F.coalesce(t, F.lit(""))))
-    out = out.join(found, col(doc_id).eqNullSafe(F.col("_af_d")) & (F.col("_af_th") == F.col("_af_h")), "left")
+    th = fresh(docs, "text_hash")
+    out = docs.withColumn(th, F.xxhash64(F.coalesce(t, F.lit(""))))
+    out = out.join(found, col(doc_id).eqNullSafe(F.col(d)) & (F.col(th) == F.col(h)), "left")
     mark = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS), F.lit(""))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
     step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(
@@ -241,6 +254,6 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
             x["e"].alias("at"), F.concat(a["parts"], F.array(F.substring(t, (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), F.element_at(mark, x["kind"] + 1))).alias("parts")
         )
     )
-    new = F.aggregate("_af_spans", zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
-    changed = F.when(F.col("_af_spans").isNotNull(), new).otherwise(t)
+    new = F.aggregate(F.col(spans), zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
+    changed = F.when(F.col(spans).isNotNull(), new).otherwise(t)
     return out.select(*(changed.alias(c) if c == text else col(c) for c in docs.columns))

@@ -488,56 +488,98 @@ def test_pii_base(spark, sf):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[3] == k for w in want) for k in PATTERNS]
 
 
-def test_pii_terms(spark):
-    filler = "some common words stand in every text of this corpus and tell nothing"
-    texts = [f"{filler} {i} Alias,\tZorblax! mail zed@x.com (Quuxville) {filler} v{i}" for i in range(4)] + [f"{filler} number {i}" for i in range(40)]
-    d = docs(spark, texts)
-    got = {r.doc_id: r for r in pii.report(pii.find_spans(d)).collect()}
-    for i in range(4):
-        marked = {texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].spans.split(",")) if k == "term"}
-        assert {"Zorblax", "Quuxville", "Alias", "mail"} == marked
-    assert all(got[i].spans == "" for i in range(4, 44))
-    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
-    assert "<EMAIL>" in clean[0] and "Zorblax" not in clean[0] and "zed" not in clean[0] and clean[9] == texts[9]
-    assert pii.report(pii.find_spans(odd(spark))).count() == 8 and pii.find_spans(odd(spark).limit(0)).count() == 0
+TERM = re.compile(r"[^\W_]+")
+
+
+def brute_terms(rows, reach=8, threshold=0.9, support=1, alpha=0.05):
+    """For (id, text) rows: counts of the pairs near each other, disclosing terms, and all spans of every row."""
+    term_list = lambda t: [(m.start(), m.end(), m[0].lower()) for m in TERM.finditer(t)]
+    texts = [t or "" for _, t in rows]
+    n_e, n_t, n_et, kinds = Counter(), Counter(), Counter(), defaultdict(set)
+    for t in texts:
+        spans = brute_spans(t)
+        n_e.update({(k, t[a:b].lower()) for a, _, b, k in spans})
+        n_t.update({x for _, _, x in term_list(t)})
+        pairs = set()
+        for a, _, b, k in spans:
+            left, right = WORD.findall(t[:a])[-reach:], WORD.findall(t[b:])[:reach]
+            pairs |= {((k, t[a:b].lower()), x) for w in left + right for _, _, x in term_list(w)}
+        n_et.update(pairs)
+        for p in pairs:
+            kinds[p].add(t)
+    n, found = len(rows), set()
+    for (e, x), both in n_et.items():
+        k = len(kinds[e, x])
+        if k < support or not n_t[x]:
+            continue
+        often = max(n_t[x], both)
+        info, mutual, mean = math.log(n / n_e[e]), math.log(n * both / (n_e[e] * often)), n_e[e] * often / n
+        chance = (k - mean - k * math.log(k / mean) if k > mean else 0) + math.log(len(n_et))
+        if info > 0 and mutual >= threshold * info and chance <= math.log(alpha):
+            found.add((e, x, n_e[e], often, both, k))
+    marked = {f[1] for f in found}
+    out = []
+    for t in texts:
+        base = brute_spans(t)
+        terms = [(a, 4, b, "term") for a, b, x in term_list(t) if x in marked and not any(a < e and s < b for s, _, e, _ in base)]
+        out.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + terms)))
+    return n_et, found, out
+
+
+def counted(spark, d, **options):
+    _, spans, texts = pii.base_spans(d, "doc_id", "text")
+    near = pii.context_terms(spans, texts, 8)
+    options = {"threshold": 0.9, "support": 1, "alpha": 0.05} | options
+    return near, pii.disclosing_terms(d, spans, near, "doc_id", "text", **options)
+
 
+FILLER = "some common words stand in every text of this corpus and tell nothing"
+LONG = "y" * 200
+MENTIONS = [
+    "card 4111 1111 1111 1111 exp 12/28 Zorblax", "zed@x.com b@y.org zed@x.com, Alpha c@z.net beta", f"Early {LONG} {LONG} {LONG}\tzed@x.com {LONG} {LONG} Later",
+    "name:zed@x.com:tail +49 (30) 1234567 12 4111 1111 1111 1111x", "zed@x.comzed@x.com 1.2.3.4.5.6.7.8 end", "one two three four five six seven eight nine 1.2.3.4 one two three four five six seven eight nine",
+]
+
+
+def planted(n=6):
+    texts = [f"{FILLER} v{i} Alias,\tZorblax! AKIA99ZZTOP12 {LONG} mail zed@x.com (Quuxville) {FILLER} then ZORBLAX, (quuxville)-road zorblax@y.com v{i}" for i in range(n)]
+    return texts + ["Only the name: zorblax.", "İzorblax zorblax1 stay"] + [f"{FILLER} number {i}" for i in range(60)]
 
-def test_pii_context_is_words_of_the_text(spark):
-    card, mail = "4111 1111 1111 1111", "zed@x.com"
-    long = "y" * 200
-    texts = [
-        f"card {card} exp 12/28 Zorblax", f"{mail} b@y.org {mail}, Alpha c@z.net beta", f"Early {long} {long} {long}\t{mail} {long} {long} Later", f"name:{mail}:tail +49 (30) 1234567 12 {card}x", f"{mail}{mail} 1.2.3.4.5.6.7.8 end",
-        "one two three four five six seven eight nine 1.2.3.4 one two three four five six seven eight nine", None, "",
-    ]
-    _, spans, found = pii.base_spans(docs(spark, texts), "doc_id", "text")
-    got = {(r.d, r.entity, r.term, r.s, r.e) for r in pii.context_terms(spans, found, 8).collect()}
-    cut, want = [], set()
-    for r in spans.collect():
-        t = texts[r.d]
-        left = [(m.start(), m[0]) for m in WORD.finditer(t[: r.s])][-8:]
-        right = [(r.e + m.start(), m[0]) for m in WORD.finditer(t[r.e :])][:8]
-        for at, w in left + right:
-            core = w.strip("(),:")
-            if len(core) >= 3 and core.isalpha():
-                at += w.index(core)
-                cut.append((r.d, r.kind, r.m.lower(), core.lower(), at, at + len(core)))
-    h = spark.createDataFrame(cut, "d long, kind int, m string, core string, s long, e long").select("d", F.xxhash64("kind", "m").alias("entity"), F.xxhash64("core").alias("term"), "s", "e")
-    want = set(map(tuple, h.collect()))
-    assert got == want and any(c[0] == 0 and c[3] == "zorblax" for c in cut) and any(c[3] == "later" for c in cut)
+
+def test_pii_against_brute_force(spark, sf):
+    real = [(r.doc_id, r.text) for r in sample(spark, sf).select("doc_id", "text").collect()]
+    made = [(10**6 + i, t) for i, t in enumerate(CASES + MENTIONS + planted() + [MENTIONS[0], planted()[0]])]
+    for rows in (real + made + made[-9:], [(i, t) for i, t in enumerate(MENTIONS)]):
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        n_et, found, spans = brute_terms(rows)
+        near, pairs = counted(spark, d)
+        by_pair = near.groupBy("entity", "term").agg(F.sum("copies").alias("n")).collect()
+        assert sorted(r.n for r in by_pair) == sorted(n_et.values())
+        h = spark.createDataFrame([(list(PATTERNS).index(k), m, x, *n) for (k, m), x, *n in found], "k int, m string, x string, n_e long, n_t long, n_et long, texts long")
+        want = h.select(F.xxhash64("k", "m").alias("entity"), F.xxhash64("x").alias("term"), "n_e", "n_t", "n_et", "texts").collect()
+        assert sorted(map(tuple, want)) == sorted((r.entity, r.term, r.n_e, r.n_t, r.n_et, r.texts) for r in pairs.collect())
+        got = pii.report(pii.find_spans(d)).collect()
+        assert Counter((r.doc_id, r.spans, r.n_spans) for r in got) == Counter((i, x, len(x.split(",")) if x else 0) for (i, _), x in zip(rows, spans))
 
 
 def test_pii_terms_are_marked_everywhere(spark):
-    filler = "some common words stand in every text of this corpus and tell nothing"
-    texts = [f"{filler} {i} Zorblax! mail zed@x.com (Quuxville) {filler} {filler} then ZORBLAX, v{i} (quuxville)-road zorblax@y.com" for i in range(4)]
-    texts += ["Only the name: zorblax.", "\u0130zorblax zorblax1 stay"] + [f"{filler} number {i}" for i in range(40)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id, Zorblax"), (4, texts[4])]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    clean = [(r.doc_id, r.text) for r in pii.sanitise(d, threshold=0.7).collect()]
-    assert len(clean) == len(rows)
-    for i, t in clean:
-        assert t == texts[i] if i is not None and i >= 5 else not re.search(r"(?i)zorblax|quuxville", t)
-    assert all(t.count("<EMAIL>") == 2 for i, t in clean if i is not None and i < 4)
-    assert Counter(clean)[4, "Only the name: ."] == 2
+    texts = planted()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id, Zorblax"), (6, texts[6])]
+    names = ["span_doc", "span_hash", "spans", "text_hash", "th", "d", "row", "kind"]
+    d = spark.createDataFrame([(*r, *([1] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = pii.sanitise(d, threshold=0.7)
+    clean = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == d.columns and len(clean) == len(rows)
+    for i, t in clean:  # also far from the mention, in documents without it, and terms with digits
+        assert t == texts[i] if i is not None and i >= 7 else not re.search(r"(?i)zorblax|quuxville|akia99|alias", t)
+    assert all(t.count("<EMAIL>") == 2 for i, t in clean if i is not None and i < 6)
+    assert Counter(clean)[6, "Only the name: ."] == 2
+
+
+def test_pii_chance_neighbours_stay(spark):
+    texts = [f"{FILLER} word{i} mail{i}@x.com other{i}" for i in range(50)] + [f"{FILLER} w{i}" for i in range(50)]  # one sighting each
+    assert all("term" not in r.spans for r in pii.report(pii.find_spans(docs(spark, texts))).collect())
+    assert pii.report(pii.find_spans(odd(spark))).count() == 8 and pii.find_spans(odd(spark).limit(0)).count() == 0
 
 
 # --- queries

@@ -405,31 +405,88 @@ def test_line_dedup_odd(spark):
 
 
 # --- 8 language model
-def test_lm_scores(spark, sf):
+def brute_score(model, lex, words, counts):
+    """log10 probability of one text, symbol by symbol."""
+    sym = []
+    for w in words:
+        i = lex.index.get(w)
+        sym.append(int(lex.symbol[i]) if i is not None else lex.suffixes.get(w.decode("utf-8", "surrogatepass")[-2:], lm.OTHER))
+    order, size, total = len(model.c) // model.r.shape[1], model.r.shape[1], 0.0
+    before = [len(lex.counts)] * order + sym
+    for at, t in enumerate([*sym, lm.END]):
+        r = sum(model.r[before[at + j]] @ model.c[j * size : (j + 1) * size] for j in range(order))
+        of, n = t // model.class_size, model.class_size
+        for table, mine in ((model.k, of), (model.q[of * n : (of + 1) * n], t % n)):
+            s = table[:, :-1] @ r + table[:, -1]
+            total += (s[mine] - np.log(np.exp(s - s.max()).sum()) - s.max()) / math.log(10)
+    for w, x in zip(words, sym):
+        if lex.log_room[x] > 0:
+            total += math.log10(counts[w.decode()] + 1) - lex.log_room[x]
+    return total
+
+
+def test_lm_scores(spark, sf, monkeypatch):
     d = sample(spark, sf).select("doc_id", "text").union(odd(spark).select(-F.col("doc_id"), "text"))
     rows = d.collect()
     tokens = lambda t: [w.decode() for w in lm.words_of(t)]
     train = [r for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
     c = Counter(w for r in train for w in tokens(r.text))
     n, v = sum(c.values()) + len(train), len(c) + 1
-    got = lm.score_texts(d, head=500, steps=200).collect()
+    made = {}
+    for name in ("fit", "build_lexicon"):
+        monkeypatch.setattr(lm, name, lambda *a, f=getattr(lm, name), name=name: made.setdefault(name, f(*a)))
+    got = lm.score_texts(d, head=500, n_words=300, n_groups=40, class_size=20, stride=4).collect()
+    model, lex = made["fit"], made["build_lexicon"]
     assert len(got) == len(rows)
     texts = {r.doc_id: r.text for r in rows}
-    for r in got:
+    for i, r in enumerate(got):
         ws = tokens(texts[r.doc_id])
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(train) + 1) / (n + v + 1))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(w in c for w in ws) + 1, n) and r.base_score == pytest.approx(base) and r.score < 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(w in c for w in ws) + 1, n) and r.base_score == pytest.approx(base)
+        if i % 3 == 0 or len(ws) < 50:
+            assert r.score == pytest.approx(brute_score(model, lex, lm.words_of(texts[r.doc_id]), c), rel=1e-4)
     held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    none = lm.score_texts(d.limit(0)).count()
-    assert none == 0
-
-
-def test_lm_is_normalised():
+    tokens_held = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / tokens_held > sum(r.base_score for r in held) / tokens_held + 0.1  # a tenth of a digit a token
+    # What was counted into groups: their words' shares and the unknown word's make up the whole.
+    for group in np.flatnonzero(lex.log_room > 0):
+        mine = [w for w in c if (lex.symbol[lex.index[w.encode()]] if w.encode() in lex.index else lex.suffixes.get(w[-2:], lm.OTHER)) == group]
+        assert sum(c[w] + 1 for w in mine) + 1 == pytest.approx(10 ** lex.log_room[group]) and lex.counts[group] == sum(c[w] for w in mine)
+    assert lm.score_texts(d.limit(0)).count() == 0
+
+
+def test_lm_examples_grow_with_the_corpus(spark):
+    texts = ["a b c d e f g h"] * 40 + [None, "", "x"]
+    lex = spark.sparkContext.broadcast(lm.Lexicon({w: i for i, w in enumerate(b"a b c d e f g h".split())}, np.array([*range(2, 10), 1]), np.zeros(9), {}, np.zeros(12), np.ones(12)))
+    for copies in (1, 5):
+        d = docs(spark, texts * copies).select("text")
+        rows = lm.examples(d, lex, 3, 12, 1).collect()
+        found = Counter(tuple(x) for r in rows for x in np.frombuffer(r.codes, "<i2").reshape(-1, 4).tolist())
+        assert sum(r.n for r in rows) == (40 * 9 + 4) * copies and found[12, 12, 12, 2] == 40 * copies and found[7, 8, 9, 0] == 40 * copies and found[12, 12, 12, 0] == 2 * copies
+
+
+def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    model = lm.train(rng.integers(0, 127 * 127 * 100, 500) % lm.M**3, rng.integers(1, 9, 500).astype(float), steps=20, batch=64)
-    table = 10.0 ** model.log10_table()
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4) and (table[:, lm.START] == 0).all()
+    counts = rng.integers(1, 50, 70).astype(float)
+    model = lm.LogBilinear.new(counts, 2, 8, 16)
+    every = lambda a, b: np.array([[a, b, t] for t in range(70)])
+    share = 10 ** model.log10_probability(every(3, 4))
+    assert share.sum() == pytest.approx(1, abs=1e-5)
+    a, b = rng.integers(0, 71, 30_000), rng.integers(0, 71, 30_000)
+    codes = np.column_stack([a, b, (a + 7 * (b % 2)) % 70])  # what follows is settled by the two before
+    before = model.log10_probability(codes).mean()
+    for turn in range(3):
+        used = model.train(codes, np.bincount(codes[:, 2], minlength=70).astype(float), 0.3, rng)
+    assert model.log10_probability(codes).mean() > before + 0.7 and used[0].sum() == 60_000 and used[3][0] == 30_000
+    for a, b in ((3, 4), (70, 70), (70, 1)):
+        assert (10 ** model.log10_probability(every(a, b))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_average_weighs_by_use(spark):
+    row = lambda k, n, *v: (k, float(n), bytearray(np.array(v, "<f4").tobytes()))
+    d = spark.createDataFrame([row(1, 1, 2, 4), row(1, 3, 6, 8), row(7, 5, 1, 1)], "key long, used double, vector binary")
+    got = {r.key: (r.used, np.frombuffer(r.vector, "<f8").tolist()) for r in lm.average(d, 3).collect()}
+    assert got == {1: (4, [5, 7]), 7: (5, [1, 1])}
 
 
 # --- 9 quality

@@ -9,7 +9,9 @@ Suffixes whose prefix occurs once leave the race at every step.
 A repeated run counts from ``min_words`` words on, and a line has a word at
 least, so prefixes of ``min_words`` lines are deep enough. At that depth the
 suffixes that share their first lines with ``min_words`` words or more are an
-interval of the suffix array whose longest common prefix has as many. The
+interval of the suffix array whose longest common prefix has as many. Prefix
+lengths of neighbours aren't computed: an interval is named by its common ranks,
+and its members are grouped by that name, which needs no ordered pass. The
 interval's first member in (doc_id, line) order is the original; the lines of
 later members that the run covers are deleted. A run's last lines are covered by
 the same rule for runs that end at a line. Together these cover exactly the
@@ -52,7 +54,8 @@ def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeated_islands(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines found twice or more, in stretches (isl) of at least ``min_words`` words, with the words before them (before) in the stretch."""
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    # Written, so that a very common line's rows can be split in the join.
+    repeated = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "repeated-lines")
     # One row for each line of documents that are repeated rows.
     found = lines.join(repeated, ["h1", "h2"]).dropDuplicates([*DOC, "ord"])
     doc = Window.partitionBy(*DOC).orderBy("ord")
@@ -137,18 +140,21 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     ``n_chars`` names a column to be set to the length of the new text.
     """
+    names = {}
+    for k in ("run_doc", "run_hash", "run_gaps", "run_rest", "text_hash", "text_parts", "n_deleted"):
+        names[k] = fresh(docs, k)
+    d, th, gaps, rest_at, h, parts_at, n = names.values()
     left = kept_ranges(deleted_runs(docs, doc_id, text, min_words))
-    left = left.select(F.col("d").alias("_af_d"), F.col("th").alias("_af_th"), F.col("gaps").alias("_af_gaps"), F.col("rest").alias("_af_rest"))
-    n = fresh(docs, "n_deleted")
-    out = docs.withColumn("_af_h", text_hash(col(text).cast("string")))
-    out = out.join(left, col(doc_id).eqNullSafe(F.col("_af_d")) & (F.col("_af_h") == F.col("_af_th")), "left")
+    left = left.select(F.col("d").alias(d), F.col("th").alias(th), F.col("gaps").alias(gaps), F.col("rest").alias(rest_at))
+    out = docs.withColumn(h, text_hash(col(text).cast("string")))
+    out = out.join(left, col(doc_id).eqNullSafe(F.col(d)) & (F.col(h) == F.col(th)), "left")
     lines = F.split(col(text), "\n")
-    rest = F.col("_af_rest")
+    rest = F.col(rest_at)
     tail = F.when(rest <= F.size(lines), F.slice(lines, rest, F.size(lines))).otherwise(F.array().cast("array<string>"))
     # slices are put together in order; nothing is looked up line by line
-    parts = F.concat(F.flatten(F.transform("_af_gaps", lambda g: F.slice(lines, g["s"], g["n"]))), tail)
-    touched = F.col("_af_rest").isNotNull()
-    out = out.withColumn("_af_parts", F.when(touched, parts)).withColumn(n, F.when(touched, F.size(lines) - F.size("_af_parts")).otherwise(F.lit(0)))
-    new = F.when(touched, F.array_join("_af_parts", "\n")).otherwise(col(text))
+    parts = F.concat(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["s"], g["n"]))), tail)
+    touched = rest.isNotNull()
+    out = out.withColumn(parts_at, F.when(touched, parts)).withColumn(n, F.when(touched, F.size(lines) - F.size(parts_at)).otherwise(F.lit(0)))
+    new = F.when(touched, F.array_join(parts_at, "\n")).otherwise(col(text))
     shown = [new.alias(c) if c == text else F.when(touched, F.length(new)).otherwise(col(c)).cast(docs.schema[c].dataType).alias(c) if c == n_chars else col(c) for c in docs.columns]
     return out.select(*shown, n), n

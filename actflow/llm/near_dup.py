@@ -375,7 +375,8 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     rows = materialize(sets.join(rest, "node").select("node", "elements", "root", "n").mapInArrow(each, "h long, node long, root long, n int"), "occurrences")
     # A shingle of one group only can't be shared across groups: it stands before all others and needs no row.
-    across = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h", "c")
+    # Written, so that a frequent shingle's rows can be split in the join.
+    across = materialize(rows.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h", "c"), "across")
     known = rows.join(across, "h").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("common"))
     # Places in the order: shingles shared with nobody stand first. The small number keeps exact products whole.
     alone = F.col("n") - F.size("common")

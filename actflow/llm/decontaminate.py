@@ -35,6 +35,9 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def normalise(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE)
 
@@ -98,9 +101,9 @@ def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     inside = np.frombuffer(b" " + raw + b" ", np.uint8) != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    whole = text.encode("utf-8", "surrogatepass")
-    chars = lambda at: len(whole[:at].decode("utf-8", "surrogatepass"))
-    return [(chars(int(starts[a])), chars(int(ends[b - 1]))) for a, b in runs]
+    # Characters before each byte: bytes that don't go on with a character.
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0) != 0x80)])
+    return [(int(before[starts[a]]), int(before[ends[b - 1]])) for a, b in runs]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, max_block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -114,20 +117,19 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, max_block_chars: int)
 
 
 def scan_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_block_chars: int = 8_000_000) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with columns for the number of words, the runs of hit words and the items; and their names."""
-    names = {k: fresh(docs, f"leak_{k}") for k in ("words", "runs", "items")}
+    """``docs`` with columns for the number of words, the runs of hit words, the items, and the runs as offsets of the text; and their names."""
+    names = {k: fresh(docs, f"leak_{k}") for k in ("words", "runs", "items", "chars")}
     out, n_before = docs, len(docs.columns)
     at = docs.columns.index(text)
-    schema = with_fields(docs.schema, (names["words"], T.LongType()), (names["runs"], HITS), (names["items"], T.ArrayType(T.LongType())))
+    schema = with_fields(docs.schema, (names["words"], T.LongType()), (names["runs"], HITS), (names["items"], T.ArrayType(T.LongType())), (names["chars"], HITS))
     spark = docs.sparkSession
-    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for block, items in enumerate(_blocks(benchmark, item_id, item_text, max_block_chars)):
         sent = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, later=block > 0) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(sent.value, window)
             for batch in batches:
-                n_words, runs, found = [], [], []
+                n_words, runs, found, chars = [], [], [], []
                 old = zip(batch.column(n_before + 1).to_pylist(), batch.column(n_before + 2).to_pylist()) if later else None
                 for t in batch.column(at).to_pylist():
                     n, r, f = scanner.scan(t)
@@ -136,17 +138,18 @@ def scan_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                         r, f = merge([(x["start"], x["end"]) for x in r0], r), sorted({*f0, *f})
                     n_words.append(n)
                     runs.append([{"start": a, "end": b} for a, b in r])
+                    chars.append([{"start": a, "end": b} for a, b in char_spans(t, r)] if r else [])
                     found.append(f)
                 cols = [batch.column(i) for i in range(n_before)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(runs, run_type), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(runs, _RUNS), pa.array(found, pa.list_(pa.int64())), pa.array(chars, _RUNS)], names=schema.names)
 
         out = (materialize(out, "leaks") if block else out).mapInArrow(scan, schema)
     return out, names
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (words), item_ids."""
-    narrow = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (words), char_spans (of the original text), item_ids."""
+    narrow = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     out, names = scan_leaks(narrow, benchmark, **options)
     runs, items = F.col(names["runs"]), F.col(names["items"])
     n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
@@ -159,6 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         F.sha2(joined.cast("binary"), 256).alias("items_sha256"),
         (F.size(runs) > 0).alias("contaminated"),
         runs.alias("spans"),
+        F.col(names["chars"]).alias("char_spans"),
         items.alias("item_ids"),
     )
 

@@ -15,7 +15,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Colum
     class the ``per_class`` ids with the least hashes are taken, as long as their texts together have at
     most the class's part of ``max_chars`` characters: whole texts. One that doesn't fit is passed over; if
     none fits, the shortest is taken. ``train`` is a condition on doc_id. Rows with a null id or target are left out; of an id that is labelled twice, the greatest
-    targets count.
+    targets count; of an id with several texts, the least text.
     """
     names = list(targets)
     rows = labels.select(col(doc_id).alias("doc_id"), *(c.alias(k) for k, c in targets.items())).filter(train).dropna()
@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Colum
         return [], {}
     texts = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     # per_class ids at most for each class: a bound that holds at every size.
-    found = materialize(texts.join(F.broadcast(picked), "doc_id"), "sample").dropDuplicates(["doc_id"])
+    found = materialize(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text")), "sample")
     share = max_chars // max(1, len(sizes))
     # Only ids and lengths are gathered, of per_class texts a class.
     one = F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))

@@ -44,13 +44,13 @@ CACHE_WORDS = 200_000
 
 
 def shape(word: str) -> str:
-    """The word's runs of letters (by case), digits and other signs."""
+    """The word's runs of letters (by case), digits and other signs: of a run of three signs or more, which they are."""
     out = []
     for run in _RUN.findall(word):
         if run[0].isalpha():
             out.append("a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run.istitle() or run[0].isupper() else "aA")
         else:
-            out.append("0" if run[0].isdigit() else run[:2])
+            out.append("0" if run[0].isdigit() else run if len(run) < 3 else "".join(sorted(set(run))) + "+")
     return "".join(out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, lm, near_dup, packing, pii, quality, toxicity, warc, weak_rules
-from .common import table
+from .common import held_out, table
 from .oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,7 +33,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.drop("spans", "item_ids")
+    return out.drop("spans", "char_spans", "item_ids")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.score_quality(docs, quality.fit_on(docs, labels))
+    held = held_out(F.col("doc_id"), 5, 0)  # not learnt from, as in op1
+    return quality.score_quality(docs, quality.fit_on(docs, labels, train=~held)).withColumn("held_out", held)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

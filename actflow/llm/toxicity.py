@@ -6,7 +6,10 @@ toxic and other training texts; a logistic regression is fitted on these
 values. Only the text is read for a score.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows:
-``per_class`` texts of each class and ``max_chars`` characters at most.
+``per_class`` texts of each class and ``max_chars`` characters at most. Of the
+2 ** 18 hashed n-grams it uses the ``n_features`` whose log ratio is greatest
+for its error, among those in ``min_texts`` texts of the sample or more. A score
+reads the whole text.
 
 Nulls: a null text is scored as the empty text, a null id counts as held out.
 Repeated rows get a row each. Extra columns are ignored. With no labelled rows
@@ -58,7 +61,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def fit(texts: list[str], toxic: list[int], weight: list[float], n_features: int = 16384, l2: float = 3e-3, rounds: int = 300) -> Model:
+def fit(texts: list[str], toxic: list[int], weight: list[float], n_features: int = 16384, min_texts: int = 3, l2: float = 3e-3, rounds: int = 300) -> Model:
     y, sw = np.array(toxic, np.float64), np.array(weight, np.float64)
     none = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.min() == y.max():
@@ -71,7 +74,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], n_features: int
     p, q = counts[1] + 1, counts[0] + 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio -= np.log((y == 1).sum() / p.sum()) - np.log((y == 0).sum() / q.sum())  # rates among the texts of a class
-    strength = np.abs(ratio) / np.sqrt(1 / p + 1 / q) * (counts.sum(0) >= 3)
+    strength = np.abs(ratio) / np.sqrt(1 / p + 1 / q) * (counts.sum(0) >= min_texts)
     keep = np.argsort(-strength, kind="stable")[:n_features]
     keep = keep[strength[keep] > 0]
     place = np.full(1 << BITS, -1)

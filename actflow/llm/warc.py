@@ -34,6 +34,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 
 
+#: What a revisit record has to name. Fixed value.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
 def base32_of_hex(digest: Column) -> Column:
     """Base32 of 40 hex digits: every 5 hex digits (20 bits) give 4 characters."""
     out = []
@@ -74,7 +78,7 @@ def header(is_response: Column, first_id: Column, date: str) -> Column:
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))),
-        F.when(is_response, "").otherwise(line("WARC-Refers-To", uri(first_id))),
+        F.when(is_response, "").otherwise(F.concat(line("WARC-Refers-To", uri(first_id)), line("WARC-Profile", F.lit(PROFILE)))),
         line("Content-Length", F.when(is_response, F.col("n")).otherwise(F.lit(0)).cast("string")),
     ).cast("binary")
 

@@ -229,6 +229,59 @@ def test_sample_passes_over_long_texts(spark):
     assert len(take(10**6)) == n + 2
 
 
+def test_sample_settles_repeated_ids(spark):
+    rows = [(1, "b"), (1, "a"), (2, "c"), (1, "b")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, q int")
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert sorted(r.text for r in labelled.labelled_sample(d, labels, {"q": F.col("q")}, F.lit(True), 5, 100)[0]) == ["a", "c"]
+
+
+def test_toxicity_ratios_against_brute_force():
+    texts, toxic = ["you fool fool", "kind words here", "fool again", "kind fool"], [1, 0, 1, 0]
+    grams = [{(n, f" {t} "[i : i + n]) for n in (3, 4, 5) for i in range(len(t) + 3 - n)} for t in texts]
+    for t, g in zip(texts, grams):
+        assert len(set(np.concatenate(toxicity.gram_buckets(t)).tolist())) == len(g)  # nothing collides here
+    model = toxicity.fit(texts, toxic, [1.0] * 4, min_texts=1, rounds=3)
+    p, q = Counter(x for g, y in zip(grams, toxic) if y for x in g), Counter(x for g, y in zip(grams, toxic) if not y for x in g)
+    for t in texts:
+        c = f" {t} "
+        for n, b in zip((3, 4, 5), toxicity.gram_buckets(t)):
+            for i, bucket in enumerate(b.tolist()):
+                ratio = math.log((p[n, c[i : i + n]] + 1) / (q[n, c[i : i + n]] + 1))  # classes of equal size
+                w = float(model.weights[bucket])
+                assert w == 0 if abs(ratio) < 1e-9 else w * ratio > 0 or w == 0
+
+
+def test_quality_gradient():
+    """The fitted thresholds and weights can't be bettered by small steps: the likelihood is flat in every direction."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["good", "fine", "well", "bad", "junk", "##"], 12, p=p)) for p in ([0.3, 0.3, 0.3, 0.05, 0.03, 0.02], [0.15, 0.2, 0.15, 0.2, 0.15, 0.15], [0.02, 0.03, 0.05, 0.3, 0.3, 0.3]) for _ in range(30)]
+    grades = [2] * 30 + [1] * 30 + [0] * 30
+    model = quality.fit(texts, grades, [1.0] * 90, rounds=3000)
+    feats = [quality.Features().of_text(t) for t in texts]
+
+    def loss(w, t):
+        total = 0.0
+        for (ids, v), g in zip(feats, grades):
+            tail = [1, *(1 / (1 + np.exp(-(w[ids] @ v - t)))), 0]
+            total -= math.log(max(tail[g] - tail[g + 1], 1e-12))
+        used = np.unique(np.concatenate([i for i, _ in feats]))
+        return total / 90 + 1e-4 * (w[used] ** 2).sum() / 2 / len(used) ** 0.5
+
+    w, t = model.weights.astype(float), model.thresholds
+    at = loss(w, t)
+    assert t[0] < t[1] and at < loss(w * 0, t)
+    for k in range(2):
+        for e in (-0.05, 0.05):
+            assert loss(w, t + e * np.eye(2)[k]) > at - 1e-5
+    for i in np.unique(np.concatenate([i for i, _ in feats]))[:12]:
+        for e in (-0.05, 0.05):
+            moved = w.copy()
+            moved[i] += e
+            assert loss(moved, t) > at - 1e-4
+
+
 # --- 4 quality rules
 def brute_base(t):
     ws = WORD.findall(t or "")
@@ -314,6 +367,35 @@ def test_leaks(spark):
     assert decontaminate.char_spans("É a, B", [(1, 3)]) == [(2, 6)]
 
 
+def test_leak_offsets_against_brute_force(spark, sf):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    bench = sample(spark, sf, "benchmark")
+    windows = set()
+    for r in bench.collect():
+        ws = word.findall(lower(r.text))
+        windows |= {tuple(ws[i : i + 10]) for i in range(max(1, len(ws) - 9))} if ws else set()
+    item = bench.first().text
+    made = docs(spark, [f"É😀, {item.upper()}!", f"{item}\n{item} é", "nothing"], 10**6).select("doc_id", "text")
+    d = sample(spark, sf).select("doc_id", "text").union(made)
+    texts, n = {r.doc_id: r.text or "" for r in d.collect()}, 0
+    for chars in (8_000_000, 20_000):
+        for r in decontaminate.find_leaks(d, bench, max_block_chars=chars).collect():
+            t = texts[r.doc_id]
+            places = [(m.start(), m.end()) for m in word.finditer(lower(t))]
+            ws, hit = word.findall(lower(t)), set()
+            for size in {len(w) for w in windows}:
+                for i in range(len(ws) - size + 1):
+                    if tuple(ws[i : i + size]) in windows:
+                        hit |= set(range(i, i + size))
+            want = [(places[i][0], places[i][1]) for i in sorted(hit)]
+            inside = [p for p in places if any(a <= p[0] and p[1] <= b for a, b in r.char_spans)]
+            assert inside == want and r.n_hit == len(hit)
+            assert all(a in {p[0] for p in want} and b in {p[1] for p in want} for a, b in r.char_spans)
+            n += len(r.char_spans)
+    assert n > 4
+
+
 # --- 6 packing
 def test_packing(spark, sf):
     from tokenizers import Tokenizer
@@ -404,6 +486,16 @@ def test_line_dedup_odd(spark):
     assert line_dedup.dedupe_lines(odd(spark).limit(0))[0].count() == 0
 
 
+def test_line_dedup_clashing_names(spark):
+    names = ["_af_h", "_af_d", "run_doc", "run_hash", "run_gaps", "run_rest", "text_hash", "text_parts", "n_deleted", "d", "th", "pos"]
+    passage = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(i, f"own {i}\n{passage}", *([i] * len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{x} int" for x in names))
+    out, n = line_dedup.dedupe_lines(d)
+    assert out.columns == [*d.columns, n]
+    for r in out.collect():
+        assert r.text == f"own {r.doc_id}" + (f"\n{passage}" if r.doc_id == 0 else "") and {r[x] for x in names} == {r.doc_id} and r[n] == int(r.doc_id > 0)
+
+
 # --- 8 language model
 def brute_score(model, lex, words, counts):
     """log10 probability of one text, symbol by symbol."""

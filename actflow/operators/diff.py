@@ -53,15 +53,16 @@ def diff_snapshots(current: DataFrame, previous: DataFrame | None, source: str,
 
 
 def snapshot_diff(store, df: DataFrame, source: str, id_field: str, date: str, exclude: list[str] | None = None, full_refresh: bool = False) -> DataFrame:
-    """Diffs against the newest earlier snapshot, saves this one, and returns the events.
+    """Saves this snapshot, and returns its differences from the newest earlier one. What is compared are written tables.
 
     If nothing changed since a snapshot that exists, every row is replayed as row_appeared.
     """
     if full_refresh:
         return appeared(df, source, id_field, date)
     previous = store.get_previous(source, date)
+    store.save(source, date, df)
+    df = store.load(source, date)
     events = diff_snapshots(df, previous, source, id_field, date, exclude)
     if previous is not None and events.isEmpty():
         events = empty_events(df.sparkSession) if df.isEmpty() else appeared(df, source, id_field, date)
-    store.save(source, date, df)
     return events

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +20,17 @@ def resolve_identities(events: DataFrame, graph: IdentityGraph) -> DataFrame:
     A record's key is its match key in any payload, or else its id. Where several keys compete, one that
     was in a payload wins, then the earliest, then the least id.
     """
-    v = parsed(F.col("payload"))
-    parts = []
+    fields: dict[str, list[str]] = {}
     for s in graph.sources:
-        rows = events.filter((F.col("source") == s.source) & (F.col("event_type") != "field_changed"))
-        key = F.replace(json_text(item(v, s.match_key_field)), F.lit('"'), F.lit(""))
-        parts.append(rows.select("source", "entity_id", "ts", key.alias("given")))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("key", F.coalesce("given", "entity_id")).filter("key is not null")
+        fields.setdefault(s.source, []).append(s.match_key_field)
+    of = lambda name: F.replace(json_text(item(F.col("_v"), name)), F.lit('"'), F.lit(""))
+    # One scan, one parse: each source's keys by CASE.
+    keys = F.lit(None).cast("array<string>")
+    for source, names in fields.items():
+        keys = F.when(F.col("source") == source, F.array(*map(of, names))).otherwise(keys)
+    rows = events.filter(F.col("source").isin(list(fields)) & (F.col("event_type") != "field_changed")).withColumn("_v", parsed(F.col("payload")))
+    given = F.explode(keys) if max(map(len, fields.values())) > 1 else keys[0]
+    rows = rows.select("source", "entity_id", "ts", given.alias("given")).withColumn("key", F.coalesce("given", "entity_id")).filter("key is not null")
     rows = rows.withColumn("canonical_id", canonical_id(F.col("key")))
     order = F.struct(F.col("given").isNull().alias("fallback"), F.col("ts"), F.col("canonical_id").alias("id"))
     return rows.groupBy("source", "entity_id").agg(F.min(order)["id"].alias("canonical_id"))

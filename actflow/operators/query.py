@@ -170,14 +170,15 @@ def discover_keys(df: DataFrame, bag: str, limit: int | None = None) -> DataFram
 
 
 def sample_values(df: DataFrame, bag: str, key: str, limit: int | None = None) -> DataFrame:
-    return df.select(bag_value(bag, key).alias("value")).filter("value is not null").limit(limit_of(limit))
+    """Values of a key, missing ones included, so that their kind can be inferred."""
+    return df.select(bag_value(bag, key).alias("value")).limit(limit_of(limit))
 
 
 def infer_kind(values: list[str | None]) -> str:
     """number, boolean, date-ish, string, mixed, null-heavy or unknown."""
-    if not values:
+    some = [v for v in values if v is not None and v != ""]
+    if not some:
         return "unknown"
-    some = [v for v in values if v is not None]
     if len(some) * 2 < len(values):
         return "null-heavy"
     kinds = set()

@@ -19,8 +19,9 @@ from ..operators.metrics import aggregate_metrics
 from ..operators.quality import EntityResult, QualityRunner
 from ..sources.readers import read_source, write_parquet, write_table
 from ..sources.snapshots import SnapshotStore
-from ..sources.stage import build_stage, join_levels, required_columns
+from ..sources.stage import build_stage, join_levels
 from ..sources.staging import materialize_staging
+from .pruning import fields_read, raw_columns
 from .registry import Registry
 
 
@@ -53,12 +54,12 @@ class Pipeline:
     def load(self) -> DataFrame:
         """All sources' events, in order of their joins."""
         by_name = {s.name: s for s in self.sources()}
-        parts = []
+        parts, read = [], fields_read(self.assets)
         for level in join_levels(list(by_name.values())):
             for name in level:
                 s = by_name[name]
                 raw = read_source(self.spark, s, self.data_dir)
-                self.staged[name] = table = build_stage(raw, s, lambda n: (by_name[n], self.staged[n]), required_columns(s))
+                self.staged[name] = table = build_stage(raw, s, lambda n: (by_name[n], self.staged[n]), raw_columns(s, read[name]))
                 parts.append(events_of(table, s) if isinstance(s, EventSource) else snapshot_diff(self.store, table, s.name, s.id_field, self.run_date, full_refresh=s.full_refresh))
         return concat_events(parts) if parts else empty_events(self.spark)
 

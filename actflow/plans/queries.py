@@ -24,6 +24,7 @@ from ..operators.metrics import aggregate_metrics
 from ..operators.query import build_query, catalog_of, discover_keys
 from ..sources.readers import execute_parameterized, read_source
 from ..sources.stage import build_stage
+from .pruning import fields_read, raw_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,8 +183,9 @@ def p_fixture_shadow(spark, d):
 
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def p_column_pruning(spark, d):
-    s = TableSource(path="customer.parquet")
-    return build_stage(read_source(spark, s, d), s, columns=["c_custkey", "c_mktsegment"])
+    s = StateSource(path="customer.parquet", name="crm", id_field="c_custkey", full_refresh=True)
+    e = AnalyticsEntity("person", state_fields=[StateField("segment", "crm", "c_mktsegment")])
+    return build_stage(read_source(spark, s, d), s, columns=raw_columns(s, fields_read({"state_sources": [s], "entities": [e]})["crm"]))
 
 
 # --- joins --------------------------------------------------------------------------------------------
@@ -415,9 +417,10 @@ def c_not_null(spark, d):
     return q.NotNull("quality", "toxic").failing(_labelled(spark, d), {}).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NULL OR trim(text) = ''")
+@query("SELECT p_partkey FROM part WHERE p_partkey % 7 = 0")
 def c_not_empty(spark, d):
-    return q.NotEmpty("text").failing(t(spark, d, "documents"), {}).select("doc_id")
+    name = F.when(F.col("p_partkey") % 7 > 0, F.col("p_name")).when(F.col("p_partkey") % 2 == 0, "  ")
+    return q.NotEmpty("name").failing(t(spark, d, "part").withColumn("name", name), {}).select("p_partkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR c_acctbal > 2 * 2500")

@@ -76,13 +76,16 @@ def apply_computed(df: DataFrame, source: TableSource) -> DataFrame:
     return df
 
 
-def build_stage(df: DataFrame, source: TableSource, table_of: Callable | None = None, columns: list[str] | None = None) -> DataFrame:
+def build_stage(df: DataFrame, source: TableSource, table_of: Callable | None = None, columns: set[str] | None = None) -> DataFrame:
     """The whole chain over rows that were read. ``columns`` prunes what is read.
 
+    Columns that a joined table has too are read nevertheless: by them the joined ones get their names.
     A fixture that is in its final shape skips transforms, joins, JSON paths and filter.
     """
     if columns is not None:
-        df = df.select(*(f"`{c}`" for c in df.columns if c in columns))
+        joined = {c for j in getattr(source, "joins", None) or () for c in table_of(j.source_name)[1].columns}
+        wanted = {c.lower() for c in columns | joined}
+        df = df.select(*(f"`{c}`" for c in df.columns if c.lower() in wanted))
     if source.fixture_is_transformed and source.path:
         return apply_computed(df, source)
     df = apply_transforms(df, source.transforms)
@@ -92,16 +95,6 @@ def build_stage(df: DataFrame, source: TableSource, table_of: Callable | None =
     return df.filter(evaluate_expression(source.filter, df)) if source.filter else df
 
 
-def required_columns(source: TableSource) -> set[str] | None:
-    """Raw columns that a source surely needs; None where expressions or payloads may need any."""
-    if isinstance(source, EventSource | StateSource) or source.filter or source.fields is None:
-        return None
-    back = {r.to_name: r.from_name for r in (source.transforms.renames if source.transforms else [])}
-    made = {d.field + d.suffix: d.field for d in ((*source.transforms.divides, *source.transforms.multiplies) if source.transforms else ())}
-    names = {f.source_column or f.name for f in source.fields}
-    return {made.get(back.get(n, n), back.get(n, n)) for n in names} | {c.field for c in (source.transforms.type_casts if source.transforms else [])}
-
-
 def join_levels(sources: list[StateSource | EventSource]) -> list[list[str]]:
     """Sources in levels: each joins only earlier levels. Declaration order within a level."""
     by_name = {s.name: s for s in sources}
@@ -131,4 +124,4 @@ def _cycle(by_name: dict, left: list[str]) -> list[str]:
         path.append(nxt)
 
 
-__all__ = ["Divide", "Multiply", "apply_computed", "apply_joins", "apply_json_paths", "apply_transforms", "build_stage", "join_levels", "required_columns"]
+__all__ = ["Divide", "Multiply", "apply_computed", "apply_joins", "apply_json_paths", "apply_transforms", "build_stage", "join_levels"]

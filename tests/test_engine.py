@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,82 @@ def test_streaming(spark, tmp_path):
     q = m.writeStream.format("memory").queryName("_m").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("_m").first().seen_count == 2
+
+
+# --- column pruning from assets
+def test_pruned_scan_gives_the_same_results(spark, tmp_path):
+    from actflow import model as m
+    from actflow.plans import pipeline as pl
+    from actflow.plans.pruning import fields_read, raw_columns
+    from actflow.sources.readers import read_source
+    from actflow.sources.stage import build_stage
+
+    spark.createDataFrame([("1", "pro", 5, "a", 7), ("2", "free", 6, "b", 8)], "id string, plan_raw string, cents long, secret string, keep long").write.parquet(str(tmp_path / "crm.parquet"))
+    spark.createDataFrame([("1", "2024-01-01", "x", 1.0, "p"), ("1", "2024-01-02", "y", 2.0, "q"), ("3", "2024-01-02", "x", 4.0, "r")], "u string, at string, kind string, value double, unread string").write.parquet(str(tmp_path / "web.parquet"))
+    crm = m.StateSource(name="crm", path="crm.parquet", id_field="id", full_refresh=True, filter="t.keep > 0", transforms=m.SourceTransforms(renames=[m.Rename("plan_raw", "plan")], divides=[m.Divide("cents", 100.0)]))
+    web = m.EventSource(name="web", path="web.parquet", entity_id_field="u", timestamp_field="at", event_type_field="kind")
+    whole = m.EventSource(name="all", path="web.parquet", entity_id_field="u", timestamp_field="at", event_type_field="kind", computed_columns=[m.ComputedColumn("c", F.lit(1))])
+    entity = m.AnalyticsEntity("person", state_fields=[m.StateField("plan", "crm", "plan"), m.StateField("paid", "crm", "cents_amount")], measures=[m.Measure("total", "x", "sum", "value")])
+    assets = {"state_sources": [crm], "event_sources": [web, whole], "activities": [], "identity_graphs": [], "entities": [entity], "metrics_models": [], "staging_views": []}
+    read = fields_read(assets)
+    raw = {s.name: raw_columns(s, read[s.name]) for s in (crm, web, whole)}
+    assert raw["all"] is None and "secret" not in raw["crm"] and "unread" not in raw["web"]
+    plan = build_stage(read_source(spark, crm, str(tmp_path)), crm, columns=raw["crm"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert {c.split(":")[0] for c in re.search(r"ReadSchema: struct<(.*?)>", plan)[1].split(",")} == {"id", "plan_raw", "cents", "keep"}
+
+    class Assets(dict):
+        def __getitem__(self, k):
+            class L(list):
+                all = list.copy
+            return L(dict.__getitem__(self, k))
+
+    got = []
+    for prune in (True, False):
+        keep = pl.raw_columns
+        if not prune:
+            pl.raw_columns = lambda *_: None
+        try:
+            r = pl.Pipeline(spark, Assets(assets), str(tmp_path), str(tmp_path / f"out{prune}"), str(tmp_path / f"snap{prune}"), "2024-02-01").run()
+        finally:
+            pl.raw_columns = keep
+        assert not r.errors
+        got.append(sorted(map(str, spark.read.parquet(r.outputs["person"]).collect())))
+    assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_what_may_need_any_column_is_not_pruned():
+    from actflow import model as m
+    from actflow.operators.quality import ForeignKey
+    from actflow.plans.pruning import fields_read
+
+    state = lambda n, **k: m.StateSource(name=n, path="x", id_field="id", **k)
+    sources = [state("diffed"), state("target", full_refresh=True), state("joins", full_refresh=True, joins=[m.Join("target", "k")]), state("counted", full_refresh=True), state("checked", full_refresh=True)]
+    read = fields_read({"state_sources": sources, "activities": [m.ActivityDefinition("any", "counted", m.EventOccurred())], "entities": [m.AnalyticsEntity("e", measures=[m.Measure("n", "any", "count")], quality_checks=[ForeignKey("a", "checked.id")])]})
+    assert [k for k, v in read.items() if v is None] == ["diffed", "target", "counted", "checked"] and read["joins"] >= {"id", "k"}
+
+
+# --- identities across sources
+def test_sources_are_linked_by_their_key(spark):
+    from actflow.model import IdentityGraph, IdentitySource
+    from actflow.operators.identity import canonical_id, enrich_events, resolve_identities
+
+    rows = [("crm", "1", "t1", "row_appeared", '{"mail":"a@x"}'), ("app", "u1", "t2", "seen", '{"email":"a@x"}'), ("app", "u1", "t1", "seen", '{"email":"b@x"}'), ("app", "u2", "t1", "seen", '{"email":null}'), ("app", "u3", "t1", "seen", "{}"), ("crm", "2", "t1", "field_changed", '{"mail":"c@x"}'), ("log", "1", "t1", "seen", '{"mail":"a@x"}')]
+    events = spark.createDataFrame(rows, "source string, entity_id string, ts string, event_type string, payload string")
+    graph = IdentityGraph("g", "p", [IdentitySource("crm", "id", "mail"), IdentitySource("app", "u", "email")])
+    h = lambda k: spark.range(1).select(canonical_id(F.lit(k))).first()[0]
+    got = {(r.source, r.entity_id): r.canonical_id for r in resolve_identities(events, graph).collect()}
+    assert got == {("crm", "1"): h("a@x"), ("app", "u1"): h("b@x"), ("app", "u2"): h("u2"), ("app", "u3"): h("u3")}
+    both = IdentityGraph("g", "p", [*graph.sources, IdentitySource("app", "u", "mail")])
+    more = events.unionByName(spark.createDataFrame([("app", "u9", "t1", "seen", '{"mail":"a@x"}')], events.schema))
+    found = {(r.source, r.entity_id): r.canonical_id for r in enrich_events(more, resolve_identities(more, both)).collect()}
+    assert found["app", "u9"] == found["crm", "1"] == h("a@x") and found["log", "1"] == "1" and found["crm", "2"] == "2"
+
+
+def test_last_value_is_the_latest(spark):
+    from actflow.model import MetricField, MetricsModel
+    from actflow.operators.metrics import aggregate_metrics
+
+    change = lambda ts, old, new: ("crm", "1", ts, "field_changed", f'{{"field_name":"n","old_value":{old},"new_value":{new}}}')
+    events = spark.createDataFrame([change("2024-01-01T08:00:00", 1, 9), change("2024-01-01T10:00:00", 9, 4), change("2024-01-01T09:00:00", 9, 7)], "source string, entity_id string, ts string, event_type string, payload string")
+    r = aggregate_metrics(events, MetricsModel("m", ["crm"], "daily", [MetricField("n", a) for a in ("last_value", "max_value", "sum_delta")])).first()
+    assert (r.n_last_value, r.n_max_value, r.n_sum_delta) == (4, 9, 1)

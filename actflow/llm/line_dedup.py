@@ -115,7 +115,8 @@ def deleted_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         return x.join(y, [x[c].eqNullSafe(y[f"{c}_"]) for c in keys]).drop(*(f"{c}_" for c in keys))
 
     named = materialize(join(join(runs, head, [*DOC, "k", "a"]), tail, [*DOC, "k", "a2"]).select(*DOC, "a", "b", "m", "ra", "rb"), "runs")
-    first = named.groupBy("m", "ra", "rb").agg(F.min(F.struct("d", "th", "a")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, so that the members of a very common run can be split in the join.
+    first = materialize(named.groupBy("m", "ra", "rb").agg(F.min(F.struct("d", "th", "a")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-runs")
     elsewhere = ~(F.col("d").eqNullSafe(F.col("f.d")) & (F.col("th") == F.col("f.th")))
     later = named.join(first, ["m", "ra", "rb"]).filter(elsewhere | (F.col("a") >= F.col("f.a") + F.col("m")))
     place = lines.select(*DOC, F.col("ord"), F.col("pos"))

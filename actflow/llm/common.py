@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+#: Paths written in each open scratch() block, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes within the block are deleted at its end: write or collect a result before."""
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    The table outlives the innermost scratch() block if ``outer``, and goes with the one around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/actflow/{label}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[: -1 if outer else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

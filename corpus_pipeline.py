@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actflow.llm import decontaminate, line_dedup, near_dup, packing, quality
-from actflow.llm.common import SPACE, materialize, table
+from actflow.llm.common import SPACE, materialize, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -47,15 +47,15 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Trained and hashed stages are beyond SQL. The tests cover the operators behind the stages; run() and the stages
-#: themselves are not tested.
+#: Trained and hashed stages are beyond SQL: tests/llm/test_pipeline.py holds the stages and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. What a stage wrote for itself is deleted once its result is written; within a
+    ``scratch`` block, stages' results and the last stage's own tables are deleted at its end."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage{i}", outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,5 +1,6 @@
 """run() and each stage on a small table, against the operators' brute-force versions."""
 
+import os
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from actflow.llm import quality
+from actflow.llm.common import scratch, shared_dir
 
 from test_operators import brute_classes, brute_lines, sample
 
@@ -74,7 +76,12 @@ def test_run(spark, made):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, made)
     pieces = lambda df: Counter((r.doc_id, r.piece, r.ids_crc32) for r in df.collect())
-    assert pieces(corpus_pipeline.run(spark, made)) == pieces(docs)
+    folder = shared_dir(spark).removeprefix("file://") + "/actflow"
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        assert pieces(corpus_pipeline.run(spark, made)) == pieces(docs)
+        assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"stage0", "stage1", "stage2", "stage3", "pieces"}
+    assert set(os.listdir(folder)) == before
 
 
 def test_stages_on_an_empty_table(spark, made):

@@ -47,14 +47,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "list-staging":
         print(*(v.name for v in assets["staging_views"]), sep="\n")
         return 0
-    spark = session()
+    spark = session(**config.spark)
     if args.command == "materialize":
-        print(json.dumps(materialize_staging(spark, assets["staging_views"].all())))
+        print(json.dumps(materialize_staging(spark, assets["staging_views"].all(), lasting=True)))
     elif args.command == "drop":
         for v in assets["staging_views"]:
-            drop_view(spark, v.name)
+            drop_view(spark, v.name, v.dataset)
     else:
-        result = Pipeline(spark, assets, config.data_dir, config.output_dir, config.snapshot_dir, args.date).run()
+        result = Pipeline(spark, assets, config.data_dir, config.output_dir, config.snapshot_dir, args.date, parallel=config.max_parallel_io).run()
         print(json.dumps({"outputs": result.outputs, "errors": result.errors} | ({"timings": result.timings} if args.command == "bench" else {}), indent=2))
         return bool(result.errors)
     return 0

@@ -51,6 +51,45 @@ def describe_model(catalog: dict[str, CatalogModel], name: str) -> dict:
     return {"name": m.name, "kind": m.kind, "metrics": [{"metric_id": f"{m.name}.{k}", "name": k, "aggregation": a} for k, a in m.metrics.items()], "dimensions": list(m.dimensions), "property_bags": list(m.bags)}
 
 
+def list_metrics(catalog: dict[str, CatalogModel], model: str | None = None) -> list[dict]:
+    """Metrics of all models or one, each with the aggregation by which queries combine its rows."""
+    return [
+        {"metric_id": f"{m.name}.{k}", "name": k, "model": m.name, "aggregation": a, "reaggregated_by": "max" if a == "max_value" else "sum", "additive": a in ("count", "sum", "sum_delta")}
+        for m in _models(catalog, model)
+        for k, a in m.metrics.items()
+    ]
+
+
+def list_dimensions(catalog: dict[str, CatalogModel], model: str | None = None) -> list[dict]:
+    """Dimensions of all models or one, property bags included: whether queries group or filter by them."""
+    out = []
+    for m in _models(catalog, model):
+        out += [{"dimension_id": f"{m.name}.{d}", "name": d, "model": m.name, "kind": "time" if d == "_date" else "column", "operators": list(OPERATORS)} for d in m.dimensions]
+        out += [{"dimension_id": f"{m.name}.{b}", "name": b, "model": m.name, "kind": "property_bag", "operators": list(BAG_OPERATORS)} for b in m.bags]
+    return out
+
+
+def _described(found: list[dict], id_: str, name: str) -> dict:
+    matches = sorted((x for x in found if name in (x["name"], x[id_])), key=lambda x: x[id_])
+    return {"query": name, "matches": matches, "count": len(matches), "ambiguous": len(matches) > 1}
+
+
+def describe_metric(catalog: dict[str, CatalogModel], metric: str, model: str | None = None) -> dict:
+    """Metrics of that name or id; one alone comes with the dimensions it can be grouped by."""
+    out = _described(list_metrics(catalog, model), "metric_id", metric)
+    return out | ({"dimensions": [d["name"] for d in list_dimensions(catalog, out["matches"][0]["model"])]} if out["count"] == 1 else {})
+
+
+def describe_dimension(catalog: dict[str, CatalogModel], dimension: str, model: str | None = None) -> dict:
+    """Dimensions of that name or id; one alone comes with the metrics it can group."""
+    out = _described(list_dimensions(catalog, model), "dimension_id", dimension)
+    return out | ({"metrics": [m["name"] for m in list_metrics(catalog, out["matches"][0]["model"])]} if out["count"] == 1 else {})
+
+
+def _models(catalog: dict[str, CatalogModel], name: str | None) -> list[CatalogModel]:
+    return [_model(catalog, name)] if name else [catalog[k] for k in sorted(catalog)]
+
+
 def query_syntax() -> dict:
     return {
         "request": {"model": "name", "metrics": ["metric"], "dimensions": ["column", "bag.key", "bag['a key']"], "filters": [{"field": "column", "op": "eq", "value": 1}], "order_by": [{"field": "metric", "direction": "desc"}], "limit": DEFAULT_LIMIT},

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 FILE = "actflow.json"
@@ -16,6 +16,7 @@ class Config:
     output_dir: str = "generated"
     snapshot_dir: str = "snapshots"
     max_parallel_io: int = 4
+    spark: dict[str, str] = field(default_factory=dict)  # settings of the session, such as its catalog
 
     def __post_init__(self) -> None:
         if self.max_parallel_io < 1:
@@ -37,4 +38,4 @@ def resolve_config(start: str = ".", **given) -> Config:
     values |= {k: v for k, v in given.items() if v is not None}
     config = Config(**values)
     place = {k: str((root / getattr(config, k)).resolve()) for k in known if k.endswith("_dir")}
-    return Config(**place, max_parallel_io=config.max_parallel_io)
+    return Config(**place, max_parallel_io=config.max_parallel_io, spark=config.spark)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from ..sources.readers import read_source, write_parquet, write_table
 from ..sources.snapshots import SnapshotStore
 from ..sources.stage import build_stage, join_levels
 from ..sources.staging import materialize_staging
+from .policy import assert_supported
 from .pruning import fields_read, raw_columns
 from .registry import Registry
 
@@ -42,9 +46,10 @@ class RunResult:
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, assets: dict[str, Registry], data_dir: str, output_dir: str, snapshot_dir: str, run_date: str, shadowed: set[str] = frozenset(), check_quality: bool = False):
+    def __init__(self, spark: SparkSession, assets: dict[str, Registry], data_dir: str, output_dir: str, snapshot_dir: str, run_date: str, shadowed: set[str] = frozenset(), check_quality: bool = False, parallel: int = 4):
         self.spark, self.assets, self.data_dir, self.output_dir, self.run_date = spark, assets, data_dir, output_dir, run_date
         self.store, self.shadowed, self.check_quality = SnapshotStore(spark, snapshot_dir), shadowed, check_quality
+        self.parallel = parallel
         self.staged: dict[str, DataFrame] = {}
         self.view_state: dict[str, str] = {}
 
@@ -56,15 +61,24 @@ class Pipeline:
         by_name = {s.name: s for s in self.sources()}
         parts, read = [], fields_read(self.assets)
         for level in join_levels(list(by_name.values())):
-            for name in level:
+
+            def one(name: str) -> DataFrame:
                 s = by_name[name]
                 raw = read_source(self.spark, s, self.data_dir)
                 self.staged[name] = table = build_stage(raw, s, lambda n: (by_name[n], self.staged[n]), raw_columns(s, read[name]))
-                parts.append(events_of(table, s) if isinstance(s, EventSource) else snapshot_diff(self.store, table, s.name, s.id_field, self.run_date, full_refresh=s.full_refresh))
+                return events_of(table, s) if isinstance(s, EventSource) else snapshot_diff(self.store, table, s.name, s.id_field, self.run_date, full_refresh=s.full_refresh)
+
+            parts += self.each(one, level)
         return concat_events(parts) if parts else empty_events(self.spark)
 
+    def each(self, work: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
+        """Results in order. Jobs that don't wait for one another are sent at once, so that none leaves the cluster idle."""
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return list(pool.map(work, items))
+
     def run(self) -> RunResult:
         """Staging, activity and identity failures are reported and the run goes on; others end it."""
+        assert_supported(self.assets)
         out = RunResult()
         with out.phase("staging"):
             try:
@@ -88,20 +102,20 @@ class Pipeline:
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             with out.phase("entities"):
+                made = {e.name: project_entity(events, e) for e in self.assets["entities"]}
+                out.outputs |= zip(made, self.each(lambda e: self.write(e, made[e.name]), self.assets["entities"]))
                 for e in self.assets["entities"]:
-                    df = project_entity(events, e)
-                    out.outputs[e.name] = self.write(e, df)
+                    df = made[e.name]
                     if self.check_quality and e.quality_checks:
                         out.quality[e.name] = QualityRunner(self.staged).run_entity(e.name, df, e.quality_checks)
             with out.phase("metrics"):
-                for m in self.assets["metrics_models"]:
-                    out.outputs[m.name] = self.write(m, aggregate_metrics(events, m))
+                models = self.assets["metrics_models"].all()
+                out.outputs |= zip((m.name for m in models), self.each(lambda m: self.write(m, aggregate_metrics(events, m)), models))
         finally:
             events.unpersist()
         return out
 
     def write(self, model: AnalyticsEntity | MetricsModel, df: DataFrame) -> str:
         if model.materialization == "table":
-            write_table(df, model.dataset or "default", model.table or model.name)
-            return f"{model.dataset or 'default'}.{model.table or model.name}"
+            return write_table(df, model.dataset or "default", model.table or model.name, getattr(model, "project", None))
         return write_parquet(df, self.output_dir, model.name)

@@ -99,10 +99,16 @@ def manifest_hash(assets: dict[str, Registry]) -> str:
 
 
 def dag_html(assets: dict[str, Registry]) -> str:
-    """The manifest's graph as a page without scripts: a column for each kind, arrows in a list."""
+    """The manifest's graph as a page without scripts: a column of boxes for each kind, lines along the edges, and a list of them."""
     from html import escape
 
     m = manifest(assets)
-    columns = "".join(f"<section><h2>{escape(k.replace('_', ' '))}</h2><ul>{''.join(f'<li>{escape(n)}</li>' for n in names)}</ul></section>" for k, names in m["assets"].items())
+    wide, high, step = 190, 28, 250
+    place = {n: (x * step + 10, y * (high + 16) + 50) for x, names in enumerate(m["assets"].values()) for y, n in enumerate(names)}
+    heads = "".join(f"<text x='{x * step + 10}' y='24' font-weight='bold'>{escape(k.replace('_', ' '))}</text>" for x, k in enumerate(m["assets"]))
+    drawn = [(place[a], place[b]) for a, b in m["edges"] if a in place and b in place]
+    lines = "".join(f"<path d='M{x0 + wide},{y0 + high // 2} C{x0 + step},{y0 + high // 2} {x1 - step + wide},{y1 + high // 2} {x1},{y1 + high // 2}' fill='none' stroke='#888'/>" for (x0, y0), (x1, y1) in drawn)
+    boxes = "".join(f"<rect x='{x}' y='{y}' width='{wide}' height='{high}' fill='#eef' stroke='#446'/><text x='{x + 6}' y='{y + 19}'>{escape(n)}</text>" for n, (x, y) in place.items())
+    size = f"width='{step * len(m['assets'])}' height='{max((y for _, y in place.values()), default=20) + 60}'"
     edges = "".join(f"<li>{escape(a)} &rarr; {escape(b)}</li>" for a, b in m["edges"])
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>DAG</title><style>main{{display:flex;gap:2em}}</style></head><body><main>{columns}</main><h2>edges</h2><ol>{edges}</ol></body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>DAG</title><style>svg{{font:13px sans-serif}}</style></head><body><svg xmlns='http://www.w3.org/2000/svg' {size}>{heads}{lines}{boxes}</svg><h2>edges</h2><ol>{edges}</ol></body></html>"

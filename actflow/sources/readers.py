@@ -68,22 +68,32 @@ def write_parquet(df: DataFrame, output_dir: str, name: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, dataset: str, name: str) -> None:
-    """Replaces the table, with its database created if it is missing."""
-    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{dataset}`")
-    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(f"`{dataset}`.`{name}`")
+def write_table(df: DataFrame, dataset: str, name: str, project: str | None = None) -> str:
+    """Replaces the table, in the catalog ``project`` if given, with its database created if it is missing."""
+    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {table_name(None, project, dataset)}")
+    full = table_name(project, dataset, name)
+    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(full)
+    return full.replace("`", "")
 
 
-def materialize_view(spark: SparkSession, name: str, sql: str) -> None:
-    spark.sql(sql).createOrReplaceTempView(name)
+def materialize_view(spark: SparkSession, name: str, sql: str, dataset: str | None = None) -> None:
+    """A view of the session, or of the catalog in ``dataset``: that one lasts as long as the catalog does."""
+    if dataset is None:
+        spark.sql(sql).createOrReplaceTempView(name)
+        return
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{dataset}`")
+    spark.sql(f"CREATE OR REPLACE VIEW {table_name(None, dataset, name)} AS {sql}")
 
 
-def view_exists(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.tableExists(name)
+def view_exists(spark: SparkSession, name: str, dataset: str | None = None) -> bool:
+    return spark.catalog.tableExists(table_name(None, dataset, name))
 
 
-def drop_view(spark: SparkSession, name: str) -> None:
-    spark.catalog.dropTempView(name)
+def drop_view(spark: SparkSession, name: str, dataset: str | None = None) -> None:
+    if dataset is None:
+        spark.catalog.dropTempView(name)
+    elif spark.catalog.databaseExists(dataset):
+        spark.sql(f"DROP VIEW IF EXISTS {table_name(None, dataset, name)}")
 
 
 def execute_parameterized(spark: SparkSession, sql: str, params: dict[str, Any] | None = None) -> DataFrame:

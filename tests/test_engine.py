@@ -14,14 +14,15 @@ from actflow.operators.diff import diff_snapshots, snapshot_diff
 from actflow.operators.entity import project_entity
 from actflow.operators.events import SCHEMA, events_of
 from actflow.operators.identity import enrich_events, resolve_identities
-from actflow.operators.insights import Recipe, recipe_limit, top_rows
+from actflow.operators.insights import Recipe, parse_recipe, recipe_limit, top_rows
 from actflow.operators.metrics import aggregate_metrics
 from actflow.operators.quality import CustomSQL, InSet, MatchesPattern, NotNull, QualityRunner, Unique
-from actflow.operators.query import QueryError, build_query, catalog_of, describe_model, infer_kind, limit_of, list_models, query_model, query_syntax
+from actflow.operators.query import QueryError, build_query, catalog_of, describe_dimension, describe_metric, describe_model, infer_kind, limit_of, list_dimensions, list_metrics, list_models, query_model, query_syntax
 from actflow.plans.config import resolve_config
 from actflow.plans.pipeline import Pipeline
-from actflow.plans.registry import discover, manifest_hash, manifest_json
-from actflow.sources.readers import SourceNotFoundError, drop_view, execute_parameterized, materialize_view, read_parquet, view_exists, write_parquet
+from actflow.plans.policy import UnsupportedAssetError, assert_supported, findings
+from actflow.plans.registry import KINDS, Registry, dag_html, discover, manifest_hash, manifest_json
+from actflow.sources.readers import SourceNotFoundError, drop_view, execute_parameterized, materialize_view, read_parquet, view_exists, write_parquet, write_table
 from actflow.sources.snapshots import SnapshotStore
 from actflow.sources.stage import build_stage, join_levels
 from actflow.sources.staging import content_hash, materialize_staging, render_sql
@@ -315,3 +316,63 @@ def test_last_value_is_the_latest(spark):
     events = spark.createDataFrame([change("2024-01-01T08:00:00", 1, 9), change("2024-01-01T10:00:00", 9, 4), change("2024-01-01T09:00:00", 9, 7)], "source string, entity_id string, ts string, event_type string, payload string")
     r = aggregate_metrics(events, MetricsModel("m", ["crm"], "daily", [MetricField("n", a) for a in ("last_value", "max_value", "sum_delta")])).first()
     assert (r.n_last_value, r.n_max_value, r.n_sum_delta) == (4, 9, 1)
+
+
+def registries(*assets):
+    out = {k: Registry(t) for k, t in KINDS.items()}
+    for a in assets:
+        next(r for r in out.values() if r.kind is type(a)).add(a)
+    return out
+
+
+def test_unsupported_assets_fail_before_any_job(spark, tmp_path):
+    good = AnalyticsEntity("ok", state_fields=[StateField("n", "s", "n", type="int")], computed_fields=[ComputedColumn("m", "n + 1"), ComputedColumn("k", "m * 2")])
+    src = StateSource(name="s", path="missing.parquet", id_field="id")
+    assert_supported(registries(src, good, ActivityDefinition("a", "nowhere", EventOccurred("x"))))
+    bad = AnalyticsEntity("bad", identity_graph="g", state_fields=[StateField("n", "s", "n", type="nosuchtype")], computed_fields=[ComputedColumn("m", "__import__('os')")])
+    assets = registries(src, bad, ActivityDefinition("a", "nowhere", EventOccurred("x")))
+    assert {(f.asset, f.feature) for f in findings(assets)} == {("a", "source"), ("bad", "type of n"), ("bad", "computed field m"), ("bad", "identity graph")}
+    with pytest.raises(UnsupportedAssetError):
+        Pipeline(spark, assets, str(tmp_path), str(tmp_path), str(tmp_path), "2024-01-01").run()
+
+
+def test_lasting_views_and_their_state(spark):
+    a = StagingView("_la", "p", "actflow_views", "SELECT {{ n }} AS id", {"n": 1})
+    b = StagingView("_lb", "p", "actflow_views", "SELECT id + 1 AS id FROM actflow_views._la", depends_on=["_la"])
+    try:
+        assert materialize_staging(spark, [a, b], lasting=True)["created"] == ["_la", "_lb"]
+        assert materialize_staging(spark, [a, b], lasting=True)["skipped"] == ["_la", "_lb"] and spark.table("actflow_views._lb").first().id == 2
+        changed = StagingView("_la", "p", "actflow_views", "SELECT {{ n }} AS id", {"n": 5})
+        assert materialize_staging(spark, [changed, b], lasting=True) == {"created": ["_la"], "skipped": ["_lb"], "shadowed": []} and spark.table("actflow_views._lb").first().id == 6
+        drop_view(spark, "_lb", "actflow_views")
+        assert not view_exists(spark, "_lb", "actflow_views") and materialize_staging(spark, [changed, b], lasting=True)["created"] == ["_lb"]
+        assert write_table(spark.range(3), "actflow_views", "t", "spark_catalog") == "spark_catalog.actflow_views.t" and spark.table("actflow_views.t").count() == 3
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS actflow_views CASCADE")
+
+
+def test_recipes_are_parsed(spark):
+    raw = {"type": "table_top", "table": {"name": "t"}, "columns": ["n", "k"], "order_by": {"default": "k", "allowed": ["n", "k"]}, "filters": {"allowed": ["k"], "defaults": {"k": "b"}}, "limit": {"default": 1, "max": 2}, "tags": ["x"]}
+    r = parse_recipe("top", raw)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "n int, k string")
+    assert r.order_columns == ["k", "n"] and [x.k for x in top_rows({"t": df}, r).collect()] == ["b"]
+    assert [x.n for x in top_rows({"t": df}, r, "n", limit=50).collect()] == [3, 2] and [x.n for x in top_rows({"t": df}, r, "n", {"k": "a"}).collect()] == [1]
+    joined = parse_recipe("j", {"type": "joined_top", "primary": "t", "columns": ["n"], "join": {"right": "u", "left_on": "k", "right_on": "k2"}})
+    assert (joined.join_table, joined.left_key, joined.right_key) == ("u", "k", "k2")
+    for bad in ({"type": "other"}, {"columns": []}, {"order_by": {"allowed": ["z"]}}, {"limit": {"default": 5, "max": 2}}, {"table": None}, {"filters": ["k"]}, {"type": "joined_top"}):
+        with pytest.raises(ValueError):
+            parse_recipe("top", raw | bad)
+
+
+def test_catalog_listings():
+    fields = [MetricField("n", "count"), MetricField("v", "max_value")]
+    cat = catalog_of([MetricsModel("daily", ["a"], "daily", fields, ["source"]), MetricsModel("hourly", ["a"], "hourly", fields[:1])])
+    assert [m["metric_id"] for m in list_metrics(cat)] == ["daily.n_count", "daily.v_max_value", "hourly.n_count"] and len(list_dimensions(cat, "hourly")) == 1
+    assert describe_metric(cat, "n_count")["ambiguous"] and describe_metric(cat, "n_count", "daily")["dimensions"] == ["_date", "source"]
+    assert describe_metric(cat, "daily.v_max_value")["matches"][0]["reaggregated_by"] == "max" and describe_dimension(cat, "source")["metrics"] == ["n_count", "v_max_value"]
+    assert describe_metric(cat, "none")["count"] == 0
+
+
+def test_dag_page_draws_edges():
+    page = dag_html(registries(StateSource(name="s", path="x", id_field="id"), AnalyticsEntity("e", state_fields=[StateField("n", "s", "n")])))
+    assert page.count("<rect") == 2 and page.count("<path") == 1

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,19 +15,21 @@ from ..functions import primitives as p
 from ..functions.expressions import evaluate_expression
 from ..model import (
     ActivityDefinition, AnalyticsEntity, ComputedColumn, Divide, EventOccurred, EventSource, Field, FieldChanged, IdentityGraph, IdentitySource, Join, Measure, MetricField, MetricsModel, Multiply,
-    PropertyBag, Rename, RowAppeared, RowDisappeared, SourceTransforms, StateField, StateSource, TableSource, TypeCast,
+    PropertyBag, Rename, RowAppeared, RowDisappeared, SourceTransforms, StagingView, StateField, StateSource, TableSource, TypeCast,
 )
 from ..operators import quality as q
 from ..operators.activities import apply_activities
-from ..operators.diff import appeared, diff_snapshots
+from ..operators.diff import appeared, diff_snapshots, snapshot_diff
 from ..operators.entity import project_entity
 from ..operators.events import concat_events, events_of
 from ..operators.identity import enrich_events, resolve_identities
 from ..operators.insights import Recipe, top_rows
 from ..operators.metrics import aggregate_metrics
-from ..operators.query import build_query, catalog_of, discover_keys
-from ..sources.readers import execute_parameterized, read_source
-from ..sources.stage import build_stage
+from ..operators.query import build_query, catalog_of, discover_keys, load_model
+from ..sources.readers import execute_parameterized, read_source, register_parquet, write_parquet
+from ..sources.snapshots import SnapshotStore
+from ..sources.stage import build_stage, join_levels
+from ..sources.staging import materialize_staging
 from .pruning import fields_read, raw_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +50,18 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workplace(spark: SparkSession) -> str:
+    """A new folder that all executors see; a local master's goes when the process ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/actflow-{uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    folder = tempfile.mkdtemp(prefix="actflow-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def json(x, *keys: str):
     for k in keys:
         x = F.get_json_object(x, f"$.{k}")
@@ -99,6 +117,30 @@ def s_parameterized_sql(spark, d):
     return execute_parameterized(spark, "SELECT o_orderstatus, count(*) AS n FROM _orders WHERE o_totalprice > @least AND o_orderpriority IS NOT NULL GROUP BY o_orderstatus", {"least": 1000.0})
 
 
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+def s_register_parquet(spark, d):
+    register_parquet(spark, "_suppliers", "supplier.parquet", d)
+    return spark.sql("SELECT s_suppkey, s_name FROM _suppliers WHERE s_acctbal > 0")
+
+
+@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_acctbal > 1000 GROUP BY c_nationkey")
+def s_staging_views(spark, d):
+    register_parquet(spark, "_staged_customers", "customer.parquet", d)
+    rich = StagingView("_stg_rich", "demo", "stg", "SELECT c_custkey, c_nationkey, c_acctbal FROM _staged_customers WHERE c_acctbal > {{ least }}", sql_params={"least": 1000})
+    by_nation = StagingView("_stg_by_nation", "demo", "stg", "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM _stg_rich GROUP BY c_nationkey", depends_on=["_stg_rich"])
+    materialize_staging(spark, [by_nation, rich])
+    return read_source(spark, TableSource(upstream=by_nation))
+
+
+@query(_NOW)
+def s_snapshots(spark, d):
+    store = SnapshotStore(spark, workplace(spark))
+    store.save("crm", "2024-01-01", crm_before(spark, d))
+    store.save("crm", "2024-02-01", crm_now(spark, d))
+    store.save("crm", "2024-03-01", crm_before(spark, d))
+    return store.get_previous("crm", "2024-03-01").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
 @query("SELECT user_id::VARCHAR AS entity_id, event_type, 'app' AS source, value, event_id FROM events")
 def d_event_source(spark, d):
     e = app_events(spark, d)
@@ -150,6 +192,37 @@ def d_concat(spark, d):
     return concat_events(parts).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'app' AS source, user_id::VARCHAR AS entity_id, event_type FROM events UNION ALL SELECT 'shop', o_custkey::VARCHAR, 'ordered' FROM orders UNION ALL SELECT 'nation', n_nationkey::VARCHAR, 'row_appeared' FROM nation")
+def d_concat_rows(spark, d):
+    parts = [app_events(spark, d), events_of(t(spark, d, "orders"), SHOP), appeared(t(spark, d, "nation"), "nation", "n_nationkey", "2024-02-01")]
+    return concat_events(parts).select("source", "entity_id", "event_type")
+
+
+def _second_load(spark, d, second, **options):
+    """The events of a second load, after one of crm_before."""
+    store = SnapshotStore(spark, workplace(spark))
+    snapshot_diff(store, crm_before(spark, d), "crm", "c_custkey", "2024-01-01")
+    e = snapshot_diff(store, second, "crm", "c_custkey", "2024-02-01", **options)
+    x = F.col("payload")
+    return e.select("entity_id", "ts", "event_type", json(x, "field_name").alias("field_name"), json(x, "c_mktsegment").alias("segment"))
+
+
+@query(f"""WITH {_CHANGES} SELECT k::VARCHAR AS entity_id, '2024-02-01' AS ts, event_type, field_name,
+  CASE event_type WHEN 'row_appeared' THEN n.c_mktsegment WHEN 'row_disappeared' THEN w.c_mktsegment END AS segment FROM changes LEFT JOIN now n ON n.c_custkey = k LEFT JOIN was w ON w.c_custkey = k""")
+def d_second_load(spark, d):
+    return _second_load(spark, d, crm_now(spark, d))
+
+
+@query(f"WITH was AS ({_BEFORE}) SELECT c_custkey::VARCHAR AS entity_id, '2024-02-01' AS ts, 'row_appeared' AS event_type, NULL::VARCHAR AS field_name, c_mktsegment AS segment FROM was")
+def d_replay_unchanged(spark, d):
+    return _second_load(spark, d, crm_before(spark, d))
+
+
+@query(f"WITH now AS ({_NOW}) SELECT c_custkey::VARCHAR AS entity_id, '2024-02-01' AS ts, 'row_appeared' AS event_type, NULL::VARCHAR AS field_name, c_mktsegment AS segment FROM now")
+def d_full_refresh(spark, d):
+    return _second_load(spark, d, crm_now(spark, d), full_refresh=True)
+
+
 # --- source stage -------------------------------------------------------------------------------------
 @query(
     """SELECT p_partkey, p_size::VARCHAR AS size_text, (p_retailprice / 100.0)::DECIMAL(18,3)::DOUBLE AS price_amount, (p_retailprice * 1.17)::DECIMAL(18,3)::DOUBLE AS p_retailprice_value, p_retailprice FROM part"""
@@ -211,6 +284,18 @@ def j_enrich(spark, d):
     return enrich_events(e, m).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("canonical_id") != F.col("entity_id"), F.col("canonical_id"))).alias("ids"))
 
 
+@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def j_levels(spark, d):
+    """Sources built level by level; each joins what earlier levels made."""
+    crm = StateSource(path="customer.parquet", name="crm", id_field="c_custkey", joins=[Join("nation", "c_nationkey")])
+    nation = StateSource(path="nation.parquet", name="nation", id_field="n_nationkey", joins=[Join("region", "n_regionkey")])
+    sources, built = {s.name: s for s in (crm, nation, REGION)}, {}
+    for level in join_levels(list(sources.values())):
+        for name in level:
+            built[name] = (sources[name], build_stage(read_source(spark, sources[name], d), sources[name], built.__getitem__))
+    return built["crm"][1].select("c_custkey", "n_name", "r_name")
+
+
 # --- activities ---------------------------------------------------------------------------------------
 ACTIVITIES = [
     ActivityDefinition("bought", "app", EventOccurred("purchase"), include_fields=["value", "missing"]),
@@ -236,6 +321,13 @@ def a_state_changes(spark, d):
     return apply_activities(crm_events(spark, d), ACTIVITIES).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_CHANGES}, building AS (SELECT c_custkey AS k FROM was WHERE c_mktsegment = 'BUILDING')
+SELECT k::VARCHAR AS entity_id, field_name, unnest(CASE WHEN event_type = 'row_appeared' THEN ['joined'] WHEN event_type = 'row_disappeared' THEN ['left']
+  WHEN field_name = 'c_mktsegment' THEN (CASE WHEN k IN (SELECT k FROM building) THEN ['to_machinery', 'from_building'] ELSE ['to_machinery'] END) ELSE [event_type] END) AS event_type FROM changes""")
+def a_state_rows(spark, d):
+    return apply_activities(crm_events(spark, d), ACTIVITIES).select("entity_id", json(F.col("payload"), "field_name").alias("field_name"), "event_type")
+
+
 @query("SELECT user_id::VARCHAR AS entity_id, value, 2 AS n_keys FROM events WHERE event_type = 'purchase'")
 def a_include_fields(spark, d):
     e = apply_activities(app_events(spark, d), ACTIVITIES).filter("event_type = 'bought'")
@@ -268,6 +360,22 @@ def i_enriched_stream(spark, d):
     return enrich_events(e, resolve_identities(e, GRAPH)).groupBy("canonical_id").agg(F.count("*").alias("n"))
 
 
+_KEYS = """keys AS (SELECT 'crm' AS source, c_custkey::VARCHAR AS entity_id, lower(replace(c_name, '#', '.')) || '@example.com' AS given, TIMESTAMP '2024-01-01' AS ts FROM customer
+  UNION ALL SELECT 'app', user_id::VARCHAR, CASE user_id % 3 WHEN 1 THEN 'customer.' || lpad(user_id::VARCHAR, 9, '0') || '@example.com' WHEN 2 THEN (CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'b' END) || (user_id % 5) || '@example.com' END, ts FROM events),
+ids AS (SELECT *, substr(sha256(coalesce(given, entity_id)), 1, 16) AS id FROM keys),
+mapping AS (SELECT source, entity_id, arg_min(id, (given IS NULL, ts, id)) AS canonical_id FROM ids GROUP BY source, entity_id)"""
+
+
+@query(f"WITH {_KEYS} SELECT canonical_id, count(*) AS n, count(DISTINCT source) AS sources FROM keys JOIN mapping USING (source, entity_id) GROUP BY canonical_id")
+def i_linked_sources(spark, d):
+    """Both sources have the key: app's is another customer's, missing, or differs between an entity's events."""
+    u = F.col("user_id")
+    own = F.concat(F.when(F.col("event_type") == "purchase", "a").otherwise("b"), (u % 5).cast("string"), F.lit("@example.com"))
+    mail = F.when(u % 3 == 1, F.concat(F.lit("customer."), F.lpad(u.cast("string"), 9, "0"), F.lit("@example.com"))).when(u % 3 == 2, own)
+    e = concat_events([people(spark, d).filter("source = 'crm'"), events_of(t(spark, d, "events").withColumn("mail", mail), APP)])
+    return enrich_events(e, resolve_identities(e, GRAPH)).groupBy("canonical_id").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
 # --- entities -----------------------------------------------------------------------------------------
 CUSTOMER_360 = AnalyticsEntity(
     "user", measures=[Measure("purchases", "purchase", "count"), Measure("spent", "purchase", "sum", "value"), Measure("last_purchase_value", "purchase", "latest", "value", "double"), Measure("views", "view", "count")]
@@ -353,6 +461,20 @@ def m_state_changes(spark, d):
     return out.select("_date", "entity_id", *(F.round(c, 2).alias(c) for c in out.columns[2:]))
 
 
+@query(f"""WITH now AS ({_NOW}), was AS ({_BEFORE}), steps AS (
+  SELECT c_custkey AS k, 1 AS step, w.c_acctbal AS o, n.c_acctbal AS v FROM now n JOIN was w USING (c_custkey) WHERE n.c_acctbal IS DISTINCT FROM w.c_acctbal
+  UNION ALL SELECT c_custkey, 2, c_acctbal, c_acctbal - 50 FROM now)
+SELECT '2024-02-01' AS _date, k::VARCHAR AS entity_id, round(sum(v - o), 2) AS c_acctbal_sum_delta, round(arg_max(v, step), 2) AS c_acctbal_last_value, round(max(v), 2) AS c_acctbal_max_value FROM steps GROUP BY k""")
+def m_last_value(spark, d):
+    """Two changes a day, of which the later one is smaller."""
+    now = crm_now(spark, d)
+    later = now.withColumn("c_acctbal", F.col("c_acctbal") - 50)
+    e = concat_events([diff_snapshots(later, now, "crm", "c_custkey", "2024-02-01 20:00:00"), diff_snapshots(now, crm_before(spark, d), "crm", "c_custkey", "2024-02-01 08:00:00")])
+    m = MetricsModel("balance", ["crm"], "daily", [MetricField("c_acctbal", a) for a in ("sum_delta", "last_value", "max_value")], ["entity_id"])
+    out = aggregate_metrics(e, m)
+    return out.select("_date", "entity_id", *(F.round(c, 2).alias(c) for c in out.columns[2:]))
+
+
 # --- semantic queries ---------------------------------------------------------------------------------
 USAGE = MetricsModel("daily_usage", ["app"], "daily", [MetricField("purchase", "count"), MetricField("view", "count"), MetricField("value", "max_value")], ["event_type"])
 _DAILY = "daily AS (SELECT strftime(ts, '%Y-%m-%d') AS _date, event_type, count(*) FILTER (event_type = 'purchase') AS purchase_count, count(*) FILTER (event_type = 'view') AS view_count, max(value) AS value_max_value FROM events GROUP BY 1, 2)"
@@ -378,6 +500,14 @@ def q_global(spark, d):
     return build_query(daily(spark, d), catalog_of([USAGE])["daily_usage"], ["view_count"], filters=[dict(zip(("field", "op", "value"), o)) for o in ops])
 
 
+@query(f"WITH {_DAILY} SELECT event_type, sum(view_count)::BIGINT AS view_count, max(value_max_value) AS value_max_value FROM daily GROUP BY event_type")
+def q_written_model(spark, d):
+    """A model that was written as parquet, found by its name."""
+    folder = workplace(spark)
+    write_parquet(daily(spark, d), folder, "daily_usage")
+    return build_query(load_model(spark, "daily_usage", folder), catalog_of([USAGE])["daily_usage"], ["view_count", "value_max_value"], ["event_type"], limit=500)
+
+
 BAGGED = AnalyticsEntity("visits", measures=[Measure("value", "x", "sum", "value")], property_bags=[PropertyBag("props", "app", "props")])
 
 
@@ -463,6 +593,13 @@ def c_column_report(spark, d):
     return q.column_report(_labelled(spark, d), ["quality"], ["source"])
 
 
+@query(f"""SELECT 'NotNull' AS check, count(*) FILTER (quality IS NULL) = 0 AS passed, count(*) FILTER (quality IS NULL) AS failures {_LABELLED}
+UNION ALL SELECT 'InSet', count(*) FILTER (lang NOT IN ('en', 'de')) = 0, count(*) FILTER (lang NOT IN ('en', 'de')) {_LABELLED} UNION ALL SELECT 'NotNull', true, 0""")
+def c_entity_run(spark, d):
+    got = q.QualityRunner().run_entity("documents", _labelled(spark, d), [q.NotNull("quality"), q.InSet("lang", ["en", "de"]), q.NotNull("doc_id")])
+    return spark.createDataFrame([(r.check, r.passed, r.failures) for r in got.results], "check string, passed boolean, failures long")
+
+
 # --- primitives ---------------------------------------------------------------------------------------
 @query("""SELECT c_custkey, sha256(trim(lower(' ' || c_name || ' '))) AS email, sha256(c_custkey::VARCHAR || 'salt') AS id, sha256(c_name) AS sha, md5(c_name) AS md, sha256(c_name || c_mktsegment) AS both FROM customer""")
 def f_hashes(spark, d):
@@ -493,6 +630,11 @@ def f_categories(spark, d):
     )
 
 
+@query("SELECT p_partkey, p_size IN (1, 5, 9) AS sized, p_brand IN ('Brand#1', 'Brand#2') AS branded FROM part")
+def f_isin_literal(spark, d):
+    return t(spark, d, "part").select("p_partkey", p.isin_literal("p_size", [1, 5, 9]).alias("sized"), p.isin_literal("p_brand", ["Brand#1", "Brand#2"]).alias("branded"))
+
+
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS obj, '' AS text, false AS flag, json_extract(props, '$.k')::VARCHAR AS raw, event_type AS round_trip FROM events""")
 def f_json(spark, d):
     e = t(spark, d, "events")

@@ -10,14 +10,18 @@ given r times that of the symbol in its class given r; both are normalised
 exactly, over the classes and over one class, by batched matrix products. So the
 cost of a token grows with the root of the vocabulary.
 
-Training covers all training documents. Every ``stride``-th token of each (from
-a place that depends on the text) becomes an example, so that examples grow in
-proportion to the corpus. They are written once, as 16-bit numbers. In every
-round each task trains the model on its examples in numpy by noise-contrastive
-estimation, classes against classes drawn by frequency, symbols against others
-of their class; the tasks' vectors are then averaged row by row, weighted by how
-often a task has used them. Only the model goes to and from the driver; its size
-is set by the parameters.
+Training covers every token of all training documents. One pass over the texts
+turns all documents into symbols, written once as 16-bit numbers; training and
+scoring both read these. A round takes each token of the training documents as
+an example once, in ``stride`` turns: a turn has every ``stride``-th token of a
+text, from a place that depends on the text, and the turns together have all.
+In every turn each task trains the model on its examples in numpy by
+noise-contrastive estimation, classes against classes drawn by frequency,
+symbols against others of their class. Noise isn't drawn: as the sums over all
+classes, and over all symbols of a class, are matrix products, its part of the
+estimate is the expectation. The tasks' vectors are then averaged row by row,
+weighted by how often a task has used them. Only the model goes to and from the
+driver; its size is set by the parameters.
 
 Counts of frequent words (``head`` words, a fixed bound) are sent to the
 executors; all other words of a document meet their counts in a shuffled join.
@@ -45,8 +49,8 @@ from pyspark.sql import functions as F
 from .common import col, held_out, materialize
 
 END, OTHER, SUFFIX = 0, 1, 2
-#: Tokens whose scores are computed together.
-BLOCK = 1 << 16
+#: Tokens whose windows are held together; of these, tokens whose scores are one product; examples of one shuffle.
+BLOCK, PART, CHUNK = 1 << 18, 1 << 14, 1 << 20
 #: Distinct words a counting task holds before it hands them on.
 FLUSH = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -124,46 +128,36 @@ def build_lexicon(counts: DataFrame, n_docs: int, head: int, n_words: int, n_gro
     return Lexicon(index, np.array([*symbol, OTHER], np.int64), np.log10(np.append(often + 1.0, 1.0)), suffixes, room, tokens)
 
 
-def contexts(sym: np.ndarray, order: int, start: int) -> np.ndarray:
-    """A row for every word and the end: the symbols before it, nearest last, and its own."""
-    s = np.concatenate([np.full(order, start), sym, [END]])
-    return np.lib.stride_tricks.sliding_window_view(s, order + 1)
+def padded(sym: np.ndarray, order: int, start: int) -> np.ndarray:
+    """The symbols of a text with its start before and its end after them, as 16-bit numbers."""
+    return np.concatenate([np.full(order, start), sym, [END]]).astype("<i2")
 
 
-def examples(texts: DataFrame, lexicon, order: int, start: int, stride: int) -> DataFrame:
-    """n, codes: every ``stride``-th token's row of ``contexts``, many in a binary value."""
+def dealt(text: np.ndarray, order: int, stride: int, turn: int) -> np.ndarray:
+    """The examples that a ``padded`` text has in a turn: the symbols before a token, nearest last, and its own."""
+    return np.lib.stride_tricks.sliding_window_view(text, order + 1)[(turn + zlib.crc32(text.tobytes())) % stride :: stride]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, kept, n = lexicon.value, [], 0
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate(kept).astype("<i2").tobytes()], pa.binary())], names=["n", "codes"])
+def examples(texts: DataFrame, lexicon, order: int, start: int, stride: int) -> DataFrame:
+    """n, codes: the examples of a round, every token's once, a row for a text's share in each of ``stride`` turns."""
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = contexts(lex.symbols(words_of(t))[1], order, start)[zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % stride :: stride]
-                if len(found):
-                    kept.append(found)
-                    n += len(found)
-                if n >= BLOCK:
-                    yield rows()
-                    kept, n = [], 0
-        if n:
-            yield rows()
+            of_text = [padded(lexicon.value.symbols(words_of(t))[1], order, start) for t in batch.column(0).to_pylist()]
+            rows = [dealt(x, order, stride, turn) for x in of_text for turn in range(stride)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["n", "codes"])
 
     return texts.mapInArrow(pick, "n long, codes binary")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct numbers, the sums of their rows, and how many rows each has."""
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each of ``n`` numbers."""
     order = np.argsort(index, kind="stable")
     index = index[order]
     starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(index)))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[index[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
 
 
 @dataclass
@@ -192,80 +186,86 @@ class LogBilinear:
     def matrices(self) -> list[np.ndarray]:
         return [self.r, self.c, self.q, self.k]
 
+    def _by_class(self, x: np.ndarray, ahead: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows in the order of their classes: that order, columns, predictions with a one for the bias, classes, edges of the classes."""
+        of = (x[:, -1] // self.class_size).astype(np.int16)
+        order = np.argsort(of, kind="stable")
+        x, of = np.ascontiguousarray(x[order].T), of[order]
+        r1 = np.ones((len(of), ahead[0].shape[1] + 1), np.float32)
+        r1[:, :-1] = sum(table[x[j]] for j, table in enumerate(ahead))
+        return order, x, r1, of, np.searchsorted(of, np.arange(len(self.k) + 1))
+
     def log10_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of each row of ``contexts``: the class's probability times the symbol's in its class."""
+        """Of each window: the class's probability times the symbol's in its class."""
         size, size_k = self.r.shape[1], self.class_size
-        f = lambda x: x.astype(np.float32)
-        ahead = [f(self.r @ self.c[j * size : (j + 1) * size]) for j in range(codes.shape[1] - 1)]
-        q, k, out = f(self.q), f(self.k), np.empty(len(codes))
-
-        def log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-            scores -= scores.max(axis=1, keepdims=True)
-            mine = scores[np.arange(len(at)), at]
-            return mine - np.log(np.exp(scores, out=scores).sum(axis=1))
-
-        for at in range(0, len(codes), BLOCK):
-            x = codes[at : at + BLOCK]
-            r, t = sum(table[x[:, j]] for j, table in enumerate(ahead)), x[:, -1]
-            of = t // size_k
-            log_p = log_softmax_at(r @ k[:, :-1].T + k[:, -1], of).astype(np.float64)
-            order = np.argsort(of, kind="stable")
-            edges = np.searchsorted(of[order], np.arange(len(k) + 1))
-            for c in np.flatnonzero(np.diff(edges)):
-                rows, part = order[edges[c] : edges[c + 1]], q[c * size_k : (c + 1) * size_k]
-                log_p[rows] += log_softmax_at(r[rows] @ part[:, :-1].T + part[:, -1], t[rows] - c * size_k)
-            out[at : at + BLOCK] = log_p / np.log(10)
+        r, c, q, k = (m.astype(np.float32) for m in self.matrices())
+        ahead, out = [r @ c[j * size : (j + 1) * size] for j in range(codes.shape[1] - 1)], np.empty(len(codes))
+        longest = np.sqrt(max((m**2).sum(axis=1).max() for m in (q, k)))
+
+        for at in range(0, len(codes), PART):
+            order, x, r1, of, edges = self._by_class(codes[at : at + PART], ahead)
+            large = np.sqrt((r1**2).sum(axis=1).max()) * longest > 80  # no score is above this product
+
+            def log_softmax_at(scores: np.ndarray, at: np.ndarray, large=large) -> np.ndarray:
+                if large:
+                    scores -= scores.max(axis=1, keepdims=True)
+                mine = scores[np.arange(len(at)), at]
+                return mine - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+            log_p = log_softmax_at(r1 @ k.T, of).astype(np.float64)
+            for i in np.flatnonzero(np.diff(edges)):
+                rows, first = slice(edges[i], edges[i + 1]), i * size_k
+                log_p[rows] += log_softmax_at(r1[rows] @ q[first : first + size_k].T, x[-1, rows] - first)
+            out[at + order] = log_p / np.log(10)
         return out
 
-    def train(self, codes: np.ndarray, counts: np.ndarray, rate: float, rng: np.random.Generator, noise: int = 8, batch: int = 1024) -> list[np.ndarray]:
-        """One pass of noise-contrastive estimation with Adagrad over the examples, in place; how often each row was used."""
-        size, order, n, size_k = self.r.shape[1], codes.shape[1] - 1, len(self.q), self.class_size
-        shares = (counts + 0.5) / (counts + 0.5).sum()
-        upto = np.concatenate([[0], np.cumsum(shares)])
-        first = np.minimum(np.arange(len(self.k) + 1) * size_k, n)
-        class_share = np.diff(upto[first])
-        log_noise, log_class_noise = np.log(noise * shares / class_share[np.arange(n) // size_k]), np.log(noise * class_share)
-        used = [np.zeros(len(m)) for m in self.matrices()]
-        square = [np.ones_like(m) for m in self.matrices()]
-
-        def move(i: int, rows, grad: np.ndarray, times) -> None:
-            m, sq = self.matrices()[i], square[i]
-            sq[rows] += grad**2
-            m[rows] -= rate * grad / np.sqrt(sq[rows])
-            used[i][rows] += times
+    def train(self, codes: np.ndarray, counts: np.ndarray, rate: float, rng: np.random.Generator, noise: int = 8, square: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """One pass of noise-contrastive estimation with Adagrad over the examples, in place; how often each row was used.
+
+        With a score s and noise of expected number m, an item's gradient is m e^s / (e^s + m), less 1 in all
+        for the target: 1 / (e^-s + 1/m), for the target times 1 - e^-s. ``square`` has Adagrad's sums and is added to.
+        """
+        size, order, n, size_k, n_classes = self.r.shape[1], codes.shape[1] - 1, len(self.q), self.class_size, len(self.k)
+        share = (counts + 0.5) / (counts + 0.5).sum()
+        of_symbol = np.arange(n) // size_k
+        class_share = np.bincount(of_symbol, share)
+        rare, rare_class = (class_share[of_symbol] / (noise * share)).astype(np.float32), (1 / (noise * class_share)).astype(np.float32)
+        model = r, c, q, k = [m.astype(np.float32) for m in self.matrices()]
+        square = [np.ones_like(m) for m in model] if square is None else square
+        batch = min(max(len(codes) // 128, 1024), 8192)
+        row = np.arange(batch)
+
+        def gradient(minus: np.ndarray, rare: np.ndarray, target: np.ndarray) -> np.ndarray:
+            """Of negative scores, in place."""
+            np.exp(np.minimum(minus, 30, out=minus), out=minus)
+            at = row[: len(target)], target
+            mine = 1 - minus[at]
+            minus += rare
+            np.reciprocal(minus, out=minus)
+            minus[at] *= mine
+            return minus
 
         codes = codes[rng.permutation(len(codes))]
         for at in range(0, len(codes), batch):
-            x = codes[at : at + batch]
-            b, t, row = len(x), x[:, -1], np.arange(len(x))
-            vectors = [self.r[x[:, j]] for j in range(order)]
-            r = sum(v @ self.c[j * size : (j + 1) * size] for j, v in enumerate(vectors))
-            r1 = np.column_stack([r, np.ones(b)])
-            # Classes: all scores in one product; the target and the noise are looked up in it.
-            of = t // size_k
-            other = np.minimum(np.searchsorted(upto[first], rng.random((b, noise)), side="right") - 1, len(self.k) - 1)
-            s = r1 @ self.k.T
-            false = _sigmoid(s[row[:, None], other] - log_class_noise[other])
-            gk = np.bincount((row[:, None] * len(self.k) + other).ravel(), false.ravel(), b * len(self.k)).reshape(b, -1)
-            gk[row, of] -= 1 - _sigmoid(s[row, of] - log_class_noise[of])
-            # Symbols of the target's class: the target first, then noise by their shares in the class.
-            low, high = upto[first[of]], upto[first[of + 1]]
-            draws = np.searchsorted(upto, low[:, None] + rng.random((b, noise)) * (high - low)[:, None], side="right") - 1
-            draws = np.clip(draws, first[of][:, None], first[of + 1][:, None] - 1)
-            words = np.column_stack([t, draws])
-            vec = self.q[words]
-            sw = np.einsum("bd,bwd->bw", r1, vec) - log_noise[words]
-            gw = _sigmoid(sw)
-            gw[:, 0] -= 1
-            back = (gk @ self.k + np.einsum("bw,bwd->bd", gw, vec))[:, :-1]
-            rows, grad, times = _sums(words.ravel(), (gw[:, :, None] * r1[:, None, :]).reshape(-1, size + 1))
-            move(2, rows, grad, times)
-            move(3, slice(None), gk.T @ r1, b)
-            rows, grad, times = _sums(x[:, :-1].T.ravel(), np.concatenate([back @ self.c[j * size : (j + 1) * size].T for j in range(order)]))
-            gc = np.concatenate([v.T @ back for v in vectors])
-            move(0, rows, grad, times)
-            move(1, slice(None), gc, b)
-        return used
+            parts = [c[j * size : (j + 1) * size] for j in range(order)]
+            _, x, r1, of, edges = self._by_class(codes[at : at + batch], [r @ part for part in parts])
+            g = gradient(r1 @ -k.T, rare_class, of)
+            back, gk, gq, minus_q = g @ k[:, :-1], g.T @ r1, np.zeros_like(q), -q
+            for i in np.flatnonzero(np.diff(edges)):
+                rows, mine = slice(edges[i], edges[i + 1]), slice(i * size_k, (i + 1) * size_k)
+                g = gradient(r1[rows] @ minus_q[mine].T, rare[mine], x[-1, rows] - i * size_k)
+                back[rows] += g @ q[mine, :-1]
+                gq[mine] = g.T @ r1[rows]
+            sums = [_sums(x[j], back, len(r)) for j in range(order)]
+            gr, gc = sum(g @ part.T for g, part in zip(sums, parts)), np.concatenate([r.T @ g for g in sums])
+            for m, sq, g in zip(model, square, (gr, gc, gq, gk)):
+                sq += g**2
+                m -= rate * g / np.sqrt(sq)
+        for mine, m in zip(self.matrices(), model):
+            mine[:] = m
+        target = np.bincount(codes[:, -1], minlength=n).astype(float)
+        met = target + noise * np.bincount(of_symbol, target)[of_symbol] * share / class_share[of_symbol]
+        return [np.bincount(codes[:, :-1].ravel(), minlength=len(r)).astype(float), np.full(len(c), float(len(codes))), met, np.full(n_classes, float(len(codes)))]
 
 
 def average(trained: DataFrame, partitions: int) -> DataFrame:
@@ -283,22 +283,35 @@ def average(trained: DataFrame, partitions: int) -> DataFrame:
     return trained.repartition(partitions, "key").mapInArrow(add, "key long, used double, vector binary")
 
 
-def fit(table: DataFrame, counts: np.ndarray, order: int, size: int, class_size: int, rounds: int, rate: float, seed: int = 7) -> LogBilinear:
-    """The model, from a written table of ``examples``: rounds of training in all tasks and averaging."""
+def fit(table: DataFrame, counts: np.ndarray, order: int, size: int, class_size: int, rounds: int, stride: int, rate: float, seed: int = 7) -> LogBilinear:
+    """The model, from a written table of ``padded`` texts: turns of training in all tasks and averaging."""
     spark, model = table.sparkSession, LogBilinear.new(counts, order, size, class_size, seed)
-    for turn in range(rounds):
+    for turn in range(rounds * stride):
         sent = spark.sparkContext.broadcast((model, counts))
 
         def train(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
             mine, n = sent.value
             mine = LogBilinear(*(m.copy() for m in mine.matrices()), mine.class_size)
-            used = [np.zeros(len(m)) for m in mine.matrices()]
+            used, square = [np.zeros(len(m)) for m in mine.matrices()], [np.ones(m.shape, np.float32) for m in mine.matrices()]
+            kept: list[np.ndarray] = []
+
+            def learn() -> None:
+                x = np.concatenate(kept)
+                kept.clear()
+                rng = np.random.default_rng([seed, turn, len(x), zlib.crc32(x.tobytes())])
+                for total, now in zip(used, mine.train(x, n, rate / (turn + 1), rng, square=square)):
+                    total += now
+
+            held = 0
             for batch in batches:
-                for codes in batch.column(1):
-                    x = np.frombuffer(codes.as_py(), "<i2").astype(np.int64).reshape(-1, order + 1)
-                    rng = np.random.default_rng([seed, turn, len(x), zlib.crc32(x.tobytes())])
-                    for total, now in zip(used, mine.train(x, n, rate / (turn + 1), rng)):
-                        total += now
+                for text in batch.column(0):
+                    kept.append(dealt(np.frombuffer(text.as_buffer(), "<i2"), order, stride, turn))
+                    held += len(kept[-1])
+                    if held >= CHUNK:
+                        learn()
+                        held = 0
+            if held:
+                learn()
             for i, (m, u) in enumerate(zip(mine.matrices(), used)):
                 rows = np.flatnonzero(u)
                 yield pa.RecordBatch.from_arrays([pa.array(rows + (i << 40)), pa.array(u[rows]), pa.array([m[j].astype("<f4").tobytes() for j in rows], pa.binary())], names=["key", "used", "vector"])
@@ -315,7 +328,7 @@ def fit(table: DataFrame, counts: np.ndarray, order: int, size: int, class_size:
 
 def score_texts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, head: int = 100_000, n_words: int = 3966, n_groups: int = 128,
-    order: int = 3, size: int = 32, class_size: int = 64, stride: int = 16, rounds: int = 3, rate: float = 0.2,
+    order: int = 3, size: int = 32, class_size: int = 64, stride: int = 4, rounds: int = 1, rate: float = 0.2,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -326,49 +339,60 @@ def score_texts(
     total, distinct = words.n + n_docs, words.v + (n_docs > 0)
     known = build_lexicon(counts, n_docs, head, n_words, n_groups)
     lexicon, start = spark.sparkContext.broadcast(known), len(known.counts)
-    model = fit(materialize(examples(learn, lexicon, order, start, stride), "examples"), known.counts, order, size, class_size, rounds, rate)
-    fitted = spark.sparkContext.broadcast(model)
     log_all, log_end = float(np.log10(total + distinct + 1)), float(np.log10(n_docs + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, lbl, part, nth = lexicon.value, fitted.value, TaskContext.get().partitionId(), 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, part, nth = lexicon.value, TaskContext.get().partitionId(), 0
         out = len(lex.index)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            waiting: list[np.ndarray] = []  # contexts of documents whose scores are computed together
-
-            def add_model() -> None:
-                codes, lengths = np.concatenate(waiting), [len(x) for x in waiting]
-                by_doc = np.add.reduceat(lbl.log10_probability(codes), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                first = len(cols[4]) - len(lengths)
-                for i, v in enumerate(by_doc):
-                    cols[4][first + i] += float(v)
-                waiting.clear()
-
+            cols: list[list] = [[] for _ in range(7)]
             for t in batch.column(1).to_pylist():
                 ws = words_of(t)
                 place, sym = lex.symbols(ws)
-                logs = lex.log_count[place]
-                shared = lex.log_room[sym] > 0  # words that share a group
-                outside = Counter([ws[i].decode("utf-8", "surrogatepass") for i in np.flatnonzero(place == out)])
-                known = len(ws) - int((place == out).sum()) + (n_docs > 0)
+                logs, room = lex.log_count[place], lex.log_room[sym]
+                beyond = np.flatnonzero(place == out)
+                outside = Counter([ws[i].decode("utf-8", "surrogatepass") for i in beyond])
+                known = len(ws) - len(beyond) + (n_docs > 0)
                 base = logs.sum() + log_end - (len(ws) + 1) * log_all
-                for values, v in zip(cols, ((part << 40) + nth, len(ws) + 1, known, base, float(logs[shared].sum() - lex.log_room[sym].sum()), list(outside.items()))):
+                shared = float(logs[room > 0].sum() - room.sum())  # of words in their groups
+                for values, v in zip(cols, ((part << 40) + nth, len(ws) + 1, known, base, shared, list(outside.items()), padded(sym, order, start).tobytes())):
                     values.append(v)
                 nth += 1
-                waiting.append(contexts(sym, order, start))
-                if len(waiting[-1]) >= BLOCK or len(waiting) >= 128:
-                    add_model()
-            if waiting:
-                add_model()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(v, k) for v, k in zip(cols, kinds))], names=names)
 
-    names = ["doc_id", "held_out", "row", "n_tokens", "known", "base", "model", "outside"]
+    names = ["doc_id", "held_out", "row", "n_tokens", "known", "base", "shared", "outside", "symbols"]
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = materialize(narrow.mapInArrow(score, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, model double, outside map<string,bigint>"), "scored")
+    plain = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double"
+    encoded = materialize(narrow.mapInArrow(encode, f"{plain}, shared double, outside map<string,bigint>, symbols binary"), "encoded")
+    model = fit(encoded.filter("not held_out").select("symbols"), known.counts, order, size, class_size, rounds, stride, rate)
+    fitted = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            waiting: list[np.ndarray] = []  # windows of documents whose scores are computed together
+
+            def add_model(found=found, waiting=waiting) -> None:
+                first = np.cumsum([0, *map(len, waiting[:-1])])
+                found.append(np.add.reduceat(fitted.value.log10_probability(np.concatenate(waiting)), first))
+                waiting.clear()
+
+            held = 0
+            for text in batch.column(7):
+                waiting.append(dealt(np.frombuffer(text.as_buffer(), "<i2"), order, 1, 0))
+                held += len(waiting[-1])
+                if held >= BLOCK:
+                    add_model()
+                    held = 0
+            if held:
+                add_model()
+            of_model = np.concatenate([*found, np.zeros(0)]) + batch.column(6).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(of_model)], names=[*names[:6], "model"])
+
+    rows = materialize(encoded.drop("outside").mapInArrow(score, f"{plain}, model double"), "scored")
     # Words outside the head: those never seen add nothing, so that an inner join does.
-    outside = rows.select("row", F.explode("outside").alias("word", "tf")).join(counts, "word")
+    outside = encoded.select("row", F.explode("outside").alias("word", "tf")).join(counts, "word")
     added = outside.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return rows.join(added, "row", "left").select(

@@ -557,6 +557,19 @@ def test_lm_examples_grow_with_the_corpus(spark):
         assert sum(r.n for r in rows) == (40 * 9 + 4) * copies and found[12, 12, 12, 2] == 40 * copies and found[7, 8, 9, 0] == 40 * copies and found[12, 12, 12, 0] == 2 * copies
 
 
+def test_lm_trains_on_every_token(spark, sf, monkeypatch):
+    lex = spark.sparkContext.broadcast(lm.Lexicon({w: i for i, w in enumerate(b"a b c".split())}, np.array([2, 3, 4, 1]), np.zeros(4), {}, np.zeros(5), np.ones(5)))
+    d = docs(spark, ["a b c a", "", "c", None, "b " * 50]).select("text")
+    windows = lambda stride: Counter(tuple(x) for r in lm.examples(d, lex, 2, 5, stride).collect() for x in np.frombuffer(r.codes, "<i2").reshape(-1, 3).tolist())
+    assert windows(1).total() == 5 + 1 + 2 + 1 + 51 and windows(4) == windows(16) == windows(1)
+    # What all tasks used the first class for, in all turns, is every token of the training texts.
+    trained = []
+    monkeypatch.setattr(lm, "materialize", lambda df, label, f=lm.materialize: [t := f(df, label), trained.append(t) if label == "trained" else None][0])
+    got = lm.score_texts(sample(spark, sf).select("doc_id", "text"), head=500, n_words=300, n_groups=40, class_size=20).collect()
+    used = sum(t.filter(F.col("key") == 3 << 40).agg(F.sum("used")).first()[0] for t in trained)
+    assert used == sum(r.n_tokens for r in got if not r.held_out) == got[0].train_tokens
+
+
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 50, 70).astype(float)

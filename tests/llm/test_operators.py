@@ -570,6 +570,13 @@ def test_lm_trains_on_every_token(spark, sf, monkeypatch):
     assert used == sum(r.n_tokens for r in got if not r.held_out) == got[0].train_tokens
 
 
+def test_lm_reads_texts_to_count_and_to_encode_only(spark, tmp_path, monkeypatch):
+    docs(spark, ["a b c a", "", "c", None] * 5).write.parquet(f"file://{tmp_path}/d")
+    read = []
+    monkeypatch.setattr(lm, "materialize", lambda df, label, f=lm.materialize: [f(df, label), read.append(label) if any(str(tmp_path) in x for x in df.inputFiles()) else None][0])
+    assert lm.score_texts(spark.read.parquet(f"file://{tmp_path}/d")).count() == 20 and read == ["words", "encoded"]
+
+
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 50, 70).astype(float)

@@ -26,7 +26,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -38,12 +38,22 @@ from pyspark.sql import functions as F
 from .common import col, materialize
 
 #: Words, and words without case and closing stop, that a worker remembers at most; the longest of them;
-#: characters of text whose unknown words are encoded together.
-CACHE_WORDS, CACHE_CORES, CACHE_CHARS, GROUP_CHARS = 400_000, 400_000, 48, 4_000_000
+#: characters of text whose unknown words are looked for together; texts taken from a batch, and words encoded, at once.
+CACHE_WORDS, CACHE_CORES, CACHE_CHARS, GROUP_CHARS = 400_000, 400_000, 48, 1_000_000
+TEXTS, WORDS = 512, 2048
 
 _encoders: dict[str, Encoder] = {}
 
 
+class Words(dict[str, bytes]):
+    """Ids of the remembered words; those of others come from ``more``."""
+
+    more: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.more[word]
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, word by word.
 
@@ -59,11 +69,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = Words({"": b""})
         self.cores: dict[str, bytes] = self.plain([".", ","])
 
     def plain(self, words: list[str]) -> dict[str, bytes]:
-        return {w: array("I", e.ids).tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))}
+        parts = (words[i : i + WORDS] for i in range(0, len(words), WORDS))  # an encoding is many times larger than its ids
+        return {w: array("I", e.ids).tobytes() for part in parts for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))}
 
     @staticmethod
     def split(word: str) -> tuple[str, str]:
@@ -94,11 +105,13 @@ class Encoder:
                 group.append(t.replace("\n", " ").replace("\t", " ").split(" "))
                 chars += len(t)
                 at += 1
-            known = self.words
-            missing = {w for words in group for w in words if w not in known}
-            more = self.add(missing) if missing else {}
+            missing: set[str] = set()
             for words in group:
-                yield b"".join([known[w] if w in known else more[w] for w in words])
+                missing.update(filterfalse(self.words.__contains__, words))
+            self.words.more = self.add(missing) if missing else {}
+            found = [b"".join(map(self.words.__getitem__, words)) for words in group]
+            self.words.more = {}
+            yield from found
 
 
 def encoder(path: str) -> Encoder:
@@ -115,13 +128,16 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
         counts = [0] * (capacity + 1)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for d, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            texts = (batch.column(1).slice(i, TEXTS).to_pylist() for i in range(0, batch.num_rows, TEXTS))
+            for d, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(map(enc.encode, texts))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4
-                    for values, v in zip(rows, (d, k, at // 4, n, zlib.crc32(cut), counts[n], cut)):
+                    for values, v in zip(rows, (d, k, at // 4, n, zlib.crc32(cut), counts[n])):
                         values.append(v)
+                    if with_ids:
+                        rows[6].append(cut)
                     counts[n] += 1
             arrays = [pa.array(rows[i], pa.int64() if i != 1 else pa.int32()) for i in range(6)]
             arrays.insert(5, pa.array([part] * len(rows[0]), pa.int32()))

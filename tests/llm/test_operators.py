@@ -440,6 +440,24 @@ def test_plan_respects_every_capacity(rule):
         packing.plan_patterns({100: 1}, 100, 4, 4000, rule)
 
 
+def test_packing_encodes_few_words_at_once():
+    texts = [" ".join(f"Wort{i}x{j}" for j in range(300)) for i in range(40)]
+    enc, sizes = packing.Encoder(TOKENIZER), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return self.tokenizer.encode_batch_fast(words, **options)
+
+    enc.tokenizer = Counted(enc.tokenizer)
+    got = list(enc.encode(texts))
+    assert sum(sizes) == 12_000 and max(sizes) <= 2048
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # --- 7 line dedup
 def brute_lines(rows, min_words=50):
     runs, lines_of = defaultdict(list), {}

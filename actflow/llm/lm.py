@@ -39,6 +39,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ from .common import col, held_out, materialize
 
 END, OTHER, SUFFIX = 0, 1, 2
 #: Tokens whose windows are held together; of these, tokens whose scores are one product; examples of one shuffle.
-BLOCK, PART, CHUNK = 1 << 18, 1 << 14, 1 << 20
+BLOCK, PART, CHUNK = 1 << 18, 1 << 13, 1 << 20
 #: Distinct words a counting task holds before it hands them on.
 FLUSH = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -91,14 +92,14 @@ class Lexicon:
     log_room: np.ndarray  # by symbol: log10(tokens + words + 1) of a group, 0 for words and the end
     counts: np.ndarray  # tokens by symbol
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head places (len(index) if outside) and symbols of the words."""
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Head places (len(index) if outside) and symbols of the words, and the words outside."""
         out = len(self.index)
-        place = np.fromiter(map(self.index.get, words, [out] * len(words)), np.int64, len(words))
-        sym = self.symbol[place]
-        for i in np.flatnonzero(place == out):
-            sym[i] = self.suffixes.get(words[i].decode("utf-8", "surrogatepass")[-SUFFIX:], OTHER)
-        return place, sym
+        place = np.fromiter(map(self.index.get, words, repeat(out)), np.int64, len(words))
+        sym, beyond = self.symbol[place], np.flatnonzero(place == out)
+        outside = [words[i].decode("utf-8", "surrogatepass") for i in beyond.tolist()]
+        sym[beyond] = [self.suffixes.get(w[-SUFFIX:], OTHER) for w in outside]
+        return place, sym, outside
 
 
 def build_lexicon(counts: DataFrame, n_docs: int, head: int, n_words: int, n_groups: int) -> Lexicon:
@@ -150,13 +151,23 @@ def examples(texts: DataFrame, lexicon, order: int, start: int, stride: int) ->
     return texts.mapInArrow(pick, "n long, codes binary")
 
 
-def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the rows of each of ``n`` numbers."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[index[starts]] = np.add.reduceat(values[order], starts, axis=0)
+def _sums(index: np.ndarray, columns: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` numbers occur, and the sum of the columns of each as a row."""
+    met, rank = np.flatnonzero(np.bincount(index, minlength=n)), np.empty(n, np.int64)
+    rank[met] = np.arange(len(met))
+    at = rank[index]
+    return met, np.array([np.bincount(at, c) for c in columns], np.float32).T
+
+
+def _ahead(r: np.ndarray, part: np.ndarray, bias: bool, met: np.ndarray | None = None) -> np.ndarray:
+    """What context symbols add to a prediction from one place, of those met there; one place adds the one for the bias."""
+    out = np.empty((len(r), r.shape[1] + 1), np.float32)
+    out[:, -1] = bias
+    if met is None:
+        out[:, :-1] = r @ part
+    else:
+        met = np.flatnonzero(np.bincount(met, minlength=len(r)))
+        out[met, :-1] = r[met] @ part
     return out
 
 
@@ -186,36 +197,46 @@ class LogBilinear:
     def matrices(self) -> list[np.ndarray]:
         return [self.r, self.c, self.q, self.k]
 
-    def _by_class(self, x: np.ndarray, ahead: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows in the order of their classes: that order, columns, predictions with a one for the bias, classes, edges of the classes."""
+    def _by_class(self, x: np.ndarray, ahead: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Windows in the order of their classes: that order, columns, predictions with a one for the bias, classes, the rows of each class met."""
         of = (x[:, -1] // self.class_size).astype(np.int16)
         order = np.argsort(of, kind="stable")
         x, of = np.ascontiguousarray(x[order].T), of[order]
-        r1 = np.ones((len(of), ahead[0].shape[1] + 1), np.float32)
-        r1[:, :-1] = sum(table[x[j]] for j, table in enumerate(ahead))
-        return order, x, r1, of, np.searchsorted(of, np.arange(len(self.k) + 1))
+        r1 = ahead[0].take(x[0], axis=0)
+        for table, mine in zip(ahead[1:], x[1:]):
+            r1 += table.take(mine, axis=0)
+        edges = np.searchsorted(of, np.arange(len(self.k) + 1)).tolist()
+        return order, x, r1, of, [(i, slice(a, b)) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+    def _padded(self, q: np.ndarray, bias: float) -> np.ndarray:
+        """The vectors of each class, the last class filled up with vectors of that bias only."""
+        out = np.zeros((len(self.k) * self.class_size, q.shape[1]), np.float32)
+        out[:, -1] = bias
+        out[: len(q)] = q
+        return out.reshape(len(self.k), self.class_size, -1)
 
     def log10_probability(self, codes: np.ndarray) -> np.ndarray:
         """Of each window: the class's probability times the symbol's in its class."""
         size, size_k = self.r.shape[1], self.class_size
         r, c, q, k = (m.astype(np.float32) for m in self.matrices())
-        ahead, out = [r @ c[j * size : (j + 1) * size] for j in range(codes.shape[1] - 1)], np.empty(len(codes))
+        ahead, out = [_ahead(r, c[j * size : (j + 1) * size], j == 0) for j in range(codes.shape[1] - 1)], np.empty(len(codes))
         longest = np.sqrt(max((m**2).sum(axis=1).max() for m in (q, k)))
+        q, inner = self._padded(q, -1e30), np.empty((PART, size_k), np.float32)
 
         for at in range(0, len(codes), PART):
-            order, x, r1, of, edges = self._by_class(codes[at : at + PART], ahead)
-            large = np.sqrt((r1**2).sum(axis=1).max()) * longest > 80  # no score is above this product
+            order, x, r1, of, met = self._by_class(codes[at : at + PART], ahead)
+            large = np.sqrt(np.einsum("ij,ij->i", r1, r1).max()) * longest > 80  # no score is above this product
 
             def log_softmax_at(scores: np.ndarray, at: np.ndarray, large=large) -> np.ndarray:
                 if large:
                     scores -= scores.max(axis=1, keepdims=True)
                 mine = scores[np.arange(len(at)), at]
-                return mine - np.log(np.exp(scores, out=scores).sum(axis=1))
+                return mine - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
             log_p = log_softmax_at(r1 @ k.T, of).astype(np.float64)
-            for i in np.flatnonzero(np.diff(edges)):
-                rows, first = slice(edges[i], edges[i + 1]), i * size_k
-                log_p[rows] += log_softmax_at(r1[rows] @ q[first : first + size_k].T, x[-1, rows] - first)
+            for i, rows in met:
+                np.dot(r1[rows], q[i].T, out=inner[rows])
+            log_p += log_softmax_at(inner[: len(of)], x[-1] - of * size_k)
             out[at + order] = log_p / np.log(10)
         return out
 
@@ -229,38 +250,55 @@ class LogBilinear:
         share = (counts + 0.5) / (counts + 0.5).sum()
         of_symbol = np.arange(n) // size_k
         class_share = np.bincount(of_symbol, share)
-        rare, rare_class = (class_share[of_symbol] / (noise * share)).astype(np.float32), (1 / (noise * class_share)).astype(np.float32)
+        rare, rare_class = np.full(n_classes * size_k, np.inf, np.float32), (1 / (noise * class_share)).astype(np.float32)
+        rare[:n] = class_share[of_symbol] / (noise * share)  # what fills the last class has no gradient
+        rare = rare.reshape(n_classes, size_k)
         model = r, c, q, k = [m.astype(np.float32) for m in self.matrices()]
         square = [np.ones_like(m) for m in model] if square is None else square
         batch = min(max(len(codes) // 128, 1024), 8192)
-        row = np.arange(batch)
+        # Written over in each batch: what is as large as the model or the batch isn't allocated again.
+        row, outer, inner, within, gr, gc, gq = np.arange(batch), *(np.empty((batch, w), np.float32) for w in (n_classes, size_k, size + 1)), *(np.empty_like(m) for m in model[:2]), np.empty((n_classes, size_k, size + 1), np.float32)
 
-        def gradient(minus: np.ndarray, rare: np.ndarray, target: np.ndarray) -> np.ndarray:
+        def gradient(minus: np.ndarray, rare: list[tuple[slice, np.ndarray]], target: np.ndarray) -> np.ndarray:
             """Of negative scores, in place."""
             np.exp(np.minimum(minus, 30, out=minus), out=minus)
             at = row[: len(target)], target
             mine = 1 - minus[at]
-            minus += rare
+            for rows, x in rare:
+                minus[rows] += x
             np.reciprocal(minus, out=minus)
             minus[at] *= mine
             return minus
 
-        codes = codes[rng.permutation(len(codes))]
+        codes = codes.take(rng.permutation(len(codes)), axis=0)
         for at in range(0, len(codes), batch):
             parts = [c[j * size : (j + 1) * size] for j in range(order)]
-            _, x, r1, of, edges = self._by_class(codes[at : at + batch], [r @ part for part in parts])
-            g = gradient(r1 @ -k.T, rare_class, of)
-            back, gk, gq, minus_q = g @ k[:, :-1], g.T @ r1, np.zeros_like(q), -q
-            for i in np.flatnonzero(np.diff(edges)):
-                rows, mine = slice(edges[i], edges[i + 1]), slice(i * size_k, (i + 1) * size_k)
-                g = gradient(r1[rows] @ minus_q[mine].T, rare[mine], x[-1, rows] - i * size_k)
-                back[rows] += g @ q[mine, :-1]
-                gq[mine] = g.T @ r1[rows]
-            sums = [_sums(x[j], back, len(r)) for j in range(order)]
-            gr, gc = sum(g @ part.T for g, part in zip(sums, parts)), np.concatenate([r.T @ g for g in sums])
-            for m, sq, g in zip(model, square, (gr, gc, gq, gk)):
+            x = codes[at : at + batch]
+            _, x, r1, of, met = self._by_class(x, [_ahead(r, part, j == 0, x[:, j]) for j, part in enumerate(parts)])
+            m = len(of)
+            g = gradient(np.dot(r1, -k.T, out=outer[:m]), [(slice(m), rare_class)], of)
+            back, gk = g @ k, g.T @ r1
+            by_class = self._padded(q, 0)
+            minus_q = -by_class
+            for i, rows in met:
+                np.dot(r1[rows], minus_q[i].T, out=inner[rows])
+            g = gradient(inner[:m], [(rows, rare[i]) for i, rows in met], x[-1] - of * size_k)
+            gq.fill(0)
+            for i, rows in met:
+                np.dot(g[rows], by_class[i], out=within[rows])
+                np.dot(g[rows].T, r1[rows], out=gq[i])
+            back += within[:m]
+            columns = back[:, :-1].T.astype(np.float64, order="C")
+            gr.fill(0)
+            for j, part in enumerate(parts):
+                met_r, g = _sums(x[j], columns, len(r))
+                gr[met_r] += g @ part.T
+                gc[j * size : (j + 1) * size] = r[met_r].T @ g
+            for m, sq, g in zip(model, square, (gr, gc, gq.reshape(-1, size + 1)[:n], gk)):
                 sq += g**2
-                m -= rate * g / np.sqrt(sq)
+                g *= rate
+                g /= np.sqrt(sq)
+                m -= g
         for mine, m in zip(self.matrices(), model):
             mine[:] = m
         target = np.bincount(codes[:, -1], minlength=n).astype(float)
@@ -343,19 +381,16 @@ def score_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, part, nth = lexicon.value, TaskContext.get().partitionId(), 0
-        out = len(lex.index)
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for t in batch.column(1).to_pylist():
                 ws = words_of(t)
-                place, sym = lex.symbols(ws)
+                place, sym, outside = lex.symbols(ws)
                 logs, room = lex.log_count[place], lex.log_room[sym]
-                beyond = np.flatnonzero(place == out)
-                outside = Counter([ws[i].decode("utf-8", "surrogatepass") for i in beyond])
-                known = len(ws) - len(beyond) + (n_docs > 0)
+                known = len(ws) - len(outside) + (n_docs > 0)
                 base = logs.sum() + log_end - (len(ws) + 1) * log_all
                 shared = float(logs[room > 0].sum() - room.sum())  # of words in their groups
-                for values, v in zip(cols, ((part << 40) + nth, len(ws) + 1, known, base, shared, list(outside.items()), padded(sym, order, start).tobytes())):
+                for values, v in zip(cols, ((part << 40) + nth, len(ws) + 1, known, base, shared, list(Counter(outside).items()), padded(sym, order, start).tobytes())):
                     values.append(v)
                 nth += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()), pa.binary())

@@ -612,6 +612,48 @@ def test_lm_is_normalised_and_learns():
         assert (10 ** model.log10_probability(every(a, b))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_classes_are_computed_together(monkeypatch):
+    """A batch, or a part of the scores, takes one exponential over the classes and one within them, however many classes there are."""
+    rng = np.random.default_rng(0)
+    counts, codes = rng.integers(1, 50, 70).astype(float), rng.integers(0, 70, (3000, 3)).astype("<i2")
+    calls = []
+    monkeypatch.setattr(np, "exp", lambda *a, f=np.exp, **k: [calls.append(1), f(*a, **k)][1])
+    for class_size in (4, 16):
+        model = lm.LogBilinear.new(counts, 2, 8, class_size)
+        calls.clear()
+        model.train(codes, counts, 0.1, rng)
+        assert len(calls) == 2 * 3  # batches of 1024
+        calls.clear()
+        model.log10_probability(codes)
+        assert len(calls) == 2 * -(-len(codes) // lm.PART)
+
+
+def test_lm_batch_against_single_examples():
+    rng, size, size_k, noise, rate = np.random.default_rng(0), 8, 16, 8, 0.1
+    counts, codes = rng.integers(1, 50, 70).astype(float), rng.integers(0, 70, (900, 3)).astype("<i2")  # one batch; the last class has 6 symbols
+    model = lm.LogBilinear.new(counts, 2, size, size_k)
+    r, c, q, k = (m.copy() for m in model.matrices())
+    share = (counts + 0.5) / (counts + 0.5).sum()
+    grads = [np.zeros(m.shape) for m in (r, c, q, k)]
+    for a, b, t in codes.tolist():
+        ahead, of = r[a] @ c[:size] + r[b] @ c[size:], t // size_k
+        mine = np.arange(of * size_k, min((of + 1) * size_k, 70))
+        expected = np.bincount(np.arange(70) // size_k, share), share[mine] / share[mine].sum()
+        back = np.zeros(size)
+        for table, grad, rows, at, m in ((k, grads[3], np.arange(len(k)), of, noise * expected[0]), (q, grads[2], mine, t % size_k, noise * expected[1])):
+            e = np.exp(table[rows, :-1] @ ahead + table[rows, -1])
+            g = m * e / (e + m)
+            g[at] -= m[at] / (e[at] + m[at])
+            grad[rows] += np.outer(g, [*ahead, 1])
+            back += g @ table[rows, :-1]
+        for j, x in enumerate((a, b)):
+            grads[0][x] += c[j * size : (j + 1) * size] @ back
+            grads[1][j * size : (j + 1) * size] += np.outer(r[x], back)
+    model.train(codes, counts, rate, rng)
+    for was, now, g in zip((r, c, q, k), model.matrices(), grads):
+        assert now == pytest.approx(was - rate * g / np.sqrt(1 + g**2), abs=1e-5)
+
+
 def test_lm_average_weighs_by_use(spark):
     row = lambda k, n, *v: (k, float(n), bytearray(np.array(v, "<f4").tobytes()))
     d = spark.createDataFrame([row(1, 1, 2, 4), row(1, 3, 6, 8), row(7, 5, 1, 1)], "key long, used double, vector binary")

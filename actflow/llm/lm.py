@@ -43,6 +43,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ END, OTHER, SUFFIX = 0, 1, 2
 BLOCK, PART, CHUNK = 1 << 18, 1 << 13, 1 << 20
 #: Distinct words a counting task holds before it hands them on.
 FLUSH = 400_000
+#: Bytes of text whose words are looked up together.
+SLICE = 1 << 23
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -102,6 +105,23 @@ class Lexicon:
         return place, sym, outside
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts, with where they start, of about ``SLICE`` bytes."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``words_of`` as strings, and the text that each is of."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, of = parts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves empty ones
+    return words.filter(some), of[some.to_numpy(zero_copy_only=False)]
+
+
 def build_lexicon(counts: DataFrame, n_docs: int, head: int, n_words: int, n_groups: int) -> Lexicon:
     """counts: word, c (a written table)."""
     n_symbols = 2 + n_words + n_groups
@@ -136,7 +156,9 @@ def padded(sym: np.ndarray, order: int, start: int) -> np.ndarray:
 
 def dealt(text: np.ndarray, order: int, stride: int, turn: int) -> np.ndarray:
     """The examples that a ``padded`` text has in a turn: the symbols before a token, nearest last, and its own."""
-    return np.lib.stride_tricks.sliding_window_view(text, order + 1)[(turn + zlib.crc32(text.tobytes())) % stride :: stride]
+    n, wide = len(text) - order, text.itemsize
+    first = min((turn + zlib.crc32(text)) % stride, n)
+    return np.ndarray((-(-(n - first) // stride), order + 1), text.dtype, text, first * wide, (stride * wide, wide))
 
 
 def examples(texts: DataFrame, lexicon, order: int, start: int, stride: int) -> DataFrame:
@@ -381,20 +403,27 @@ def score_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, part, nth = lexicon.value, TaskContext.get().partitionId(), 0
+        out, heads = len(lex.index), pa.array([w.decode("utf-8", "surrogatepass") for w in lex.index], pa.string())
+        ends, of_end = pa.array(list(lex.suffixes), pa.string()), np.array([*lex.suffixes.values(), OTHER], np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()), pa.binary())
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for t in batch.column(1).to_pylist():
-                ws = words_of(t)
-                place, sym, outside = lex.symbols(ws)
+            for at, texts in slices(batch.column(1)):
+                words, of = split(texts)
+                n, sums = len(texts), lambda x, of=of, n=len(texts): np.bincount(of, x, n)
+                place = pc.fill_null(pc.index_in(words, value_set=heads), out).to_numpy(zero_copy_only=False)
+                sym, beyond = lex.symbol[place], np.flatnonzero(place == out)
+                others = words.take(pa.array(beyond))
+                sym[beyond] = of_end[pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(others, -SUFFIX), value_set=ends), len(ends)).to_numpy(zero_copy_only=False)]
                 logs, room = lex.log_count[place], lex.log_room[sym]
-                known = len(ws) - len(outside) + (n_docs > 0)
-                base = logs.sum() + log_end - (len(ws) + 1) * log_all
-                shared = float(logs[room > 0].sum() - room.sum())  # of words in their groups
-                for values, v in zip(cols, ((part << 40) + nth, len(ws) + 1, known, base, shared, list(Counter(outside).items()), padded(sym, order, start).tobytes())):
-                    values.append(v)
-                nth += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(v, k) for v, k in zip(cols, kinds))], names=names)
+                n_words, n_others = np.bincount(of, minlength=n), np.bincount(of[beyond], minlength=n)
+                base = sums(logs) + log_end - (n_words + 1) * log_all
+                shared = sums(np.where(room > 0, logs, 0)) - sums(room)  # of words in their groups
+                outside, edges, marks = others.to_pylist(), np.cumsum([0, *n_others]).tolist(), np.cumsum([0, *n_words]).tolist()
+                tallies = [list(Counter(outside[i:j]).items()) for i, j in zip(edges, edges[1:])]
+                codes = [padded(sym[i:j], order, start).tobytes() for i, j in zip(marks, marks[1:])]
+                cols = ((part << 40) + nth + np.arange(n), n_words + 1, n_words - n_others + (n_docs > 0), base, shared, tallies, codes)
+                nth += n
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), *(pa.array(v, k) for v, k in zip(cols, kinds))], names=names)
 
     names = ["doc_id", "held_out", "row", "n_tokens", "known", "base", "shared", "outside", "symbols"]
     kind = narrow.schema["doc_id"].dataType.simpleString()

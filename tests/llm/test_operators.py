@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -612,6 +613,18 @@ def test_lm_is_normalised_and_learns():
         assert (10 ** model.log10_probability(every(a, b))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_splits_as_word_by_word(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [None, "", " ", " a", "A\x00b ", *("".join(rng.choice(list(" \t\n\x0b\x0c\r\x1c\x85\xa0AZbÉß中😀"), 30)) for _ in range(300))]
+    words, of = lm.split(pa.array(texts, pa.string()))
+    found = [[] for _ in texts]
+    for w, i in zip(words.to_pylist(), of):
+        found[i].append(w.encode())
+    assert found == [lm.words_of(t) for t in texts]
+    monkeypatch.setattr(lm, "SLICE", 100)
+    assert [t for _, part in lm.slices(pa.array(texts, pa.string())) for t in part.to_pylist()] == texts and not list(lm.slices(pa.array([], pa.string())))
+
+
 def test_lm_classes_are_computed_together(monkeypatch):
     """A batch, or a part of the scores, takes one exponential over the classes and one within them, however many classes there are."""
     rng = np.random.default_rng(0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,12 @@ from pyspark.sql import types as T
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+#: Rows that a worker takes from a batch, and sends back, at once.
+PART_ROWS = 512
+
 _local_dir: str | None = None
+#: By its name, what the operator that ran last in this worker keeps from task to task.
+_kept: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +79,36 @@ def materialize(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(operator: str) -> dict:
+    """What an operator keeps in this worker from task to task. A worker serves the tasks of all stages in turn, so what another operator kept goes."""
+    if operator not in _kept:
+        _kept.clear()
+        give_back()
+    return _kept.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: an idle worker would hold it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def by_parts(operator: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: ``start`` gives, once a task, a function that is applied to every ``PART_ROWS`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(operator)
+        work, batch = start(), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART_ROWS):
+                yield work(batch.slice(at, PART_ROWS))
+        del work, batch
+        give_back()
+
+    return run
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have in any letter case."""
     taken, name = {c.lower() for c in df.columns}, base

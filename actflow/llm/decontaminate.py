@@ -19,7 +19,7 @@ ignored by ``find_leaks``. An empty benchmark hits nothing.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, materialize, with_fields
+from .common import by_parts, col, fresh, materialize, with_fields
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -126,9 +126,10 @@ def scan_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     for block, items in enumerate(_blocks(benchmark, item_id, item_text, max_block_chars)):
         sent = spark.sparkContext.broadcast(items)
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, later=block > 0) -> Iterator[pa.RecordBatch]:
+        def start(sent=sent, later=block > 0) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
             scanner = Scanner(sent.value, window)
-            for batch in batches:
+
+            def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
                 n_words, runs, found, chars = [], [], [], []
                 old = zip(batch.column(n_before + 1).to_pylist(), batch.column(n_before + 2).to_pylist()) if later else None
                 for t in batch.column(at).to_pylist():
@@ -141,9 +142,11 @@ def scan_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                     chars.append([{"start": a, "end": b} for a, b in char_spans(t, r)] if r else [])
                     found.append(f)
                 cols = [batch.column(i) for i in range(n_before)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(runs, _RUNS), pa.array(found, pa.list_(pa.int64())), pa.array(chars, _RUNS)], names=schema.names)
+                return pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(runs, _RUNS), pa.array(found, pa.list_(pa.int64())), pa.array(chars, _RUNS)], names=schema.names)
+
+            return scan
 
-        out = (materialize(out, "leaks") if block else out).mapInArrow(scan, schema)
+        out = (materialize(out, "leaks") if block else out).mapInArrow(by_parts("decontaminate", start), schema)
     return out, names
 
 

@@ -43,17 +43,16 @@ Extra columns are ignored, and kept by ``drop_near_duplicates``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, materialize, with_fields
+from .common import by_parts, col, fresh, materialize, with_fields
 
 #: Words a worker remembers at most.
 CACHE_WORDS = 300_000
@@ -184,9 +183,10 @@ def with_signatures(docs: DataFrame, text: str, coordinates: int, bands: int, ro
 
     places = band_coordinates(coordinates, bands, rows)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+
+        def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, sizes, found = [], [], []
             for t in batch.column(at).to_pylist():
                 words = words_of(t or "")
@@ -194,17 +194,20 @@ def with_signatures(docs: DataFrame, text: str, coordinates: int, bands: int, ro
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                 sizes.append(int(weights.sum()))
                 found.append(band_hashes(signature(elements, weights, coordinates), places) if words else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+
+        return sign
 
-    return docs.mapInArrow(sign, schema), key, number, band
+    return docs.mapInArrow(by_parts("near_dup", start), schema), key, number, band
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     """node, text -> node, elements: each shingle as a 64-bit number, one for each time it occurs, sorted."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+
+        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for t in batch.column(1).to_pylist():
                 h, n = shingles(words_of(t), hashes, size)
@@ -212,9 +215,11 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                     owner = np.repeat(np.arange(len(n)), n)
                     h = mix(h[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * _B)
                 out.append(np.sort(h.astype("<u8")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
+
+        return sets
 
-    return texts.mapInArrow(sets, "node long, elements binary")
+    return texts.mapInArrow(by_parts("near_dup", start), "node long, elements binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -305,15 +310,16 @@ def _sets(narrow: DataFrame, nodes: DataFrame, members: DataFrame, size: int) ->
 def _groups(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """node, root: components of the similar pairs among the members (bucket, node, n, size) of a bucket; None if there are none."""
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_jaccard(x, y) >= threshold - 1e-9 for x, y in zip(a, b)], dtype="bool")
+    def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (batch.column(i).to_pylist() for i in (2, 3))
+        return batch.select([0, 1]).filter(pa.array([weighted_jaccard(x, y) >= threshold - 1e-9 for x, y in zip(a, b)], pa.bool_()))
 
     left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"{k}_set")) for k in ("a", "b"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar."""
-        return materialize(pairs.join(right, "b").join(left, "a").filter(similar("a_set", "b_set")).select("a", "b"), "links")
+        met = pairs.join(right, "b").join(left, "a").select("a", "b", "a_set", "b_set")
+        return materialize(met.mapInArrow(by_parts("near_dup", lambda: similar), "a long, b long"), "links")
 
     weight = members.groupBy("node").agg(F.sum("size").alias("degree"))
     # Equal degrees are told apart by a hash, so that one number orders the nodes.

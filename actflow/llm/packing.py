@@ -35,15 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, materialize
+from .common import col, kept, materialize
 
 #: Words, and words without case and closing stop, that a worker remembers at most; the longest of them;
 #: characters of text whose unknown words are looked for together; texts taken from a batch, and words encoded, at once.
 CACHE_WORDS, CACHE_CORES, CACHE_CHARS, GROUP_CHARS = 400_000, 400_000, 48, 1_000_000
 TEXTS, WORDS = 512, 2048
 
-_encoders: dict[str, Encoder] = {}
-
 
 class Words(dict[str, bytes]):
     """Ids of the remembered words; those of others come from ``more``."""
@@ -115,9 +113,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    encoders = kept("packing")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, with_fields
+from .common import by_parts, col, fresh, with_fields
 from .labelled import class_weights, labelled_sample
 
 BITS, GRADES = 17, 3
@@ -64,11 +64,13 @@ def pieces(word: str) -> list[str]:
 
 class Features:
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def of_word(self, word: str) -> tuple[int, int]:
+    def of_word(self, word: str) -> int:
+        """The numbers of the word and of its shape, in one."""
         if (got := self.known.get(word)) is None:
-            got = tuple(zlib.crc32(f"{k}{v}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for k, v in (("w ", word.lower()), ("s ", shape(word))))
+            of, shaped = (zlib.crc32(f"{k}{v}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for k, v in (("w ", word.lower()), ("s ", shape(word))))
+            got = of << BITS | shaped
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             if len(word) <= 64:
@@ -83,11 +85,11 @@ class Features:
         if len(max(words, key=len)) > _WORD_RUNS:
             words = [p for w in words for p in (pieces(w) if len(w) > _WORD_RUNS else (w,))]
         pairs = Counter(words)
-        ids = np.array([self.of_word(w) for w in pairs], np.int64)
+        ids = np.fromiter(map(self.of_word, pairs), np.int64, len(pairs))
         n = np.array(list(pairs.values()), np.float64)
         repeats = sum(map(str.__eq__, words, words[1:]))
         distinct = len(pairs)
-        flat = np.concatenate([ids[:, 0], ids[:, 1], _RATIO_IDS])
+        flat = np.concatenate([ids >> BITS, ids & ((1 << BITS) - 1), _RATIO_IDS])
         share = np.concatenate([n, n, [repeats, distinct]]) / len(words)
         unique, place = np.unique(flat, return_inverse=True)
         return unique, np.sqrt(np.bincount(place, share))
@@ -160,13 +162,16 @@ def with_tails(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataF
     schema = with_fields(docs.schema, (name, T.ArrayType(T.DoubleType())))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         m, feats = sent.value, Features()
-        for batch in batches:
+
+        def score(batch: pa.RecordBatch) -> pa.RecordBatch:
             tails = [m.tails(*feats.of_text(t or "")).tolist() for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(tails, pa.list_(pa.float64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(tails, pa.list_(pa.float64()))], names=schema.names)
+
+        return score
 
-    return docs.mapInArrow(score, schema), name
+    return docs.mapInArrow(by_parts("quality", start), schema), name
 
 
 def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", min_grade: int = 1, min_probability: float = 0.5) -> DataFrame:

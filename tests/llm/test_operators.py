@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -459,6 +460,27 @@ def test_packing_encodes_few_words_at_once():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_workers_drop_what_another_operator_kept_and_work_by_parts(spark, monkeypatch):
+    run = {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: run.update(f=f) or self)
+    texts = [f"some words of text {i} and more of them to make a shingle or two" for i in range(1500)]
+    d = docs(spark, texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts), pa.array(["en"] * 1500), pa.array(["s"] * 1500), pa.array(map(len, texts), pa.int64())], names=d.columns)
+    operators = [
+        lambda: quality.with_tails(d, quality.fit([], [], [])),
+        lambda: near_dup.with_signatures(d, "text", 400, 50, 8, 5),
+        lambda: near_dup.shingle_sets(d.select("doc_id", "text"), 5),
+        lambda: decontaminate.scan_leaks(d, spark.createDataFrame([(1, texts[0])], "item_id long, text string")),
+    ]
+    for operator in operators:
+        kept = weakref.ref(packing.encoder(TOKENIZER))
+        assert packing.encoder(TOKENIZER) is kept()  # from task to task
+        operator()
+        out = list(run["f"](iter([batch])))
+        assert kept() is None
+        assert max(x.num_rows for x in out) <= 512 and sum(x.num_rows for x in out) == 1500
+
+
 # --- 7 line dedup
 def brute_lines(rows, min_words=50):
     runs, lines_of = defaultdict(list), {}
